@@ -23,15 +23,12 @@ def _signed_survivors(events: DataFrame, part: Sequence[str], order: Sequence[Co
     ``events`` holds distinct images.  All three steps (lag, signed rows, sum)
     share one hash partitioning on ``part``.
     """
-    cols = events.columns
-    image = F.struct(*cols)
-    before = F.lag(image).over(Window.partitionBy(*part).orderBy(*order))
-    signed = (
-        events.select(F.explode(F.array(F.struct(F.lit(1).alias("m"), image.alias("i")), F.struct(F.lit(-1).alias("m"), before.alias("i")))).alias("s"))
-        .where("s.i IS NOT NULL")
-        .select("s.i.*", F.col("s.m").alias(_MULT))
-    )
-    return signed.groupBy(*cols).agg(F.sum(_MULT).alias(_MULT)).where(f"{_MULT} > 0").select(*cols)
+    rest = [c for c in events.columns if c not in part]
+    chain = events.select(*part, F.struct(*rest).alias("after"), F.lag(F.struct(*rest)).over(Window.partitionBy(*part).orderBy(*order)).alias("before"))
+    plus = F.struct(F.lit(1).alias("m"), F.col("after").alias("i"))
+    minus = F.struct(F.lit(-1).alias("m"), F.col("before").alias("i"))
+    signed = chain.select(*part, F.explode(F.array(plus, minus)).alias("s")).where("s.i IS NOT NULL").select(*part, "s.i.*", F.col("s.m").alias(_MULT))
+    return signed.groupBy(*part, *rest).agg(F.sum(_MULT).alias(_MULT)).where(f"{_MULT} > 0").select(*part, *rest)
 
 
 def apply_changes(
@@ -43,7 +40,7 @@ def apply_changes(
     base: DataFrame | None = None,
     deletes: DataFrame | None = None,
     sequence: str,
-    salts: int = 16,
+    salts: int | None = None,
 ) -> DataFrame:
     """Current state of a table: columns ``key`` and ``image`` of the live rows.
 
@@ -64,7 +61,7 @@ def apply_changes(
 
     Skew: rows are first reduced within (key, salt), where the salt is a hash
     of the image, so a key holding a third of all rows is spread over
-    ``salts`` tasks and leaves at most one image per salt for the second sum.
+    ``salts`` tasks (by default as many as the session's shuffle partitions) and leaves at most one image per salt for the second sum.
     """
     image = list(dict.fromkeys([sequence, *image]))
     feed = changes.select(key, *image)
@@ -77,8 +74,9 @@ def apply_changes(
     cols = [key, *image, _OP]
     # equal sequence: the delete sorts first, the record stays
     ranks = [F.col(sequence).asc_nulls_first(), F.col(_OP).asc(), *order, *[F.col(c).asc_nulls_first() for c in image]]
-    salted = feed.withColumn(_SALT, F.pmod(F.xxhash64(*image, _OP), F.lit(salts))).repartition(key, _SALT)
-    distinct = salted.distinct()
+    salts = salts or int(feed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the distinct combines repeats before they are shuffled
+    distinct = feed.distinct().withColumn(_SALT, F.pmod(F.xxhash64(*image, _OP), F.lit(salts)))
     local = _signed_survivors(distinct, [key, _SALT], ranks).drop(_SALT)
     live = _signed_survivors(local, [key], ranks)
     return live.where(F.col(_OP) == UPSERT).select(key, *image)
