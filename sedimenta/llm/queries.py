@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sedimenta.llm.cooccurrence import cooccurrence
 from sedimenta.llm.leakage import leaks
 from sedimenta.llm.quantiles import merge, percentiles, sketch
+from sedimenta.llm.residue import residue
 from sedimenta.session import scan
 
 
@@ -49,6 +50,16 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(scan(spark, sf_dir, "documents"), scan(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue(scan(spark, sf_dir, "documents")).where("is_residue").select("doc_id")
+
+
+def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without residue."""
+    docs = scan(spark, sf_dir, "documents")
+    return docs.join(residue(docs).where("is_residue").select("doc_id"), "doc_id", "left_anti")
+
+
 _P4 = """
 WITH rows_ AS (SELECT DISTINCT question_id, list_sort(list_distinct([lower(trim(x)) FOR x IN tags IF x IS NOT NULL AND trim(x) <> ''])) AS items
   FROM questions WHERE question_id IS NOT NULL),
@@ -80,5 +91,5 @@ SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (win)""",
 QUERIES = {
     "p4_found": p4_found, "p4_pairs": p4_pairs,
     "p7_month_percentiles": p7_month_percentiles, "p7_owner_percentiles": p7_owner_percentiles, "p7_merged_percentiles": p7_merged_percentiles,
-    "p8_found": p8_found,
+    "p8_found": p8_found, "p10_found": p10_found, "p10_clean": p10_clean,
 }
