@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from sedimenta.llm.cooccurrence import cooccurrence
 from sedimenta.llm.leakage import leaks
+from sedimenta.llm.mixture import mixture, reached_shares, token_count
 from sedimenta.llm.quantiles import merge, percentiles, sketch
 from sedimenta.llm.residue import residue
-from sedimenta.session import scan
+from sedimenta.session import cut, scan
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,13 +32,11 @@ def _hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fact.select(F.floor(F.col("created_date_key") / 100).cast("int").alias("month"), "owner_user_key", F.when(F.col("hours_to_first_answer") > 0, F.col("hours_to_first_answer")).alias("hours"))
 
 
-def p7_month_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles per month, from sketches merged out of (month, owner) groups of separate loads."""
-    return percentiles(sketch(_hours(spark, sf_dir), ["month"], "hours"), ["month"], RANKS)
-
-
-def p7_owner_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return percentiles(sketch(_hours(spark, sf_dir), ["owner_user_key"], "hours"), ["owner_user_key"], RANKS)
+def p7_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles per month and per owner: ``grain`` tells which of the two a row is for."""
+    hours = _hours(spark, sf_dir).withColumn("month", F.col("month").cast("string"))
+    parts = [percentiles(sketch(hours, [k], "hours"), [k], RANKS).select(F.lit(g).alias("grain"), F.col(k).alias("group_key"), "n_values", "n_null", *RANKS) for g, k in (("month", "month"), ("owner", "owner_user_key"))]
+    return parts[0].unionByName(parts[1])
 
 
 def p7_merged_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +49,20 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(scan(spark, sf_dir, "documents"), scan(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their tokens, counted once."""
+    return cut(scan(spark, sf_dir, "documents").select("doc_id", "source", "lang", "post_type", token_count(F.col("text")).alias("tokens")))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(_sized(spark, sf_dir), scan(spark, sf_dir, "mix_targets"), topic="post_type")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares really reached, per target source."""
+    return reached_shares(p9_mixture(spark, sf_dir), scan(spark, sf_dir, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue(scan(spark, sf_dir, "documents")).where("is_residue").select("doc_id")
 
@@ -90,6 +103,6 @@ SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (win)""",
 
 QUERIES = {
     "p4_found": p4_found, "p4_pairs": p4_pairs,
-    "p7_month_percentiles": p7_month_percentiles, "p7_owner_percentiles": p7_owner_percentiles, "p7_merged_percentiles": p7_merged_percentiles,
-    "p8_found": p8_found, "p10_found": p10_found, "p10_clean": p10_clean,
+    "p7_percentiles": p7_percentiles, "p7_merged_percentiles": p7_merged_percentiles,
+    "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_clean": p10_clean,
 }
