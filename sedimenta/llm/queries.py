@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sedimenta.llm.cooccurrence import cooccurrence
 from sedimenta.llm.leakage import leaks
 from sedimenta.llm.mixture import mixture, reached_shares, token_count
+from sedimenta.llm.pii import mentions, redacted
 from sedimenta.llm.quantiles import merge, percentiles, sketch
 from sedimenta.llm.residue import residue
 from sedimenta.session import cut, scan
@@ -23,6 +24,20 @@ def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccurrence(scan(spark, sf_dir, "questions"), "question_id", "tags").withColumnsRenamed({"item_a": "tag_a", "item_b": "tag_b"}).withColumns({"lift": F.round("lift", 9), "llr": F.round("llr", 6)})
 
 
+def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [scan(spark, sf_dir, t).select(F.lit(kind).alias("post_type"), F.col("_record_hash").alias("record_hash"), "body") for t, kind in (("questions", "question"), ("answers", "answer"))]
+    return parts[0].unionByName(parts[1]).where("body IS NOT NULL AND record_hash IS NOT NULL")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mentions(_bodies(spark, sf_dir), ["post_type", "record_hash"], "body").where("pii_type <> 'birth_date'")
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bodies with typed placeholders."""
+    return _bodies(spark, sf_dir).select("post_type", "record_hash", redacted(F.col("body"), "test-salt").alias("body"))
+
+
 RANKS = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
 
 
@@ -104,5 +119,5 @@ SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (win)""",
 QUERIES = {
     "p4_found": p4_found, "p4_pairs": p4_pairs,
     "p7_percentiles": p7_percentiles, "p7_merged_percentiles": p7_merged_percentiles,
-    "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_clean": p10_clean,
+    "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_clean": p10_clean,
 }
