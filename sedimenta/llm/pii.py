@@ -240,4 +240,4 @@ def mentions(posts: DataFrame, keys: list[str], text: str) -> DataFrame:
     Rows stay where they are read; only counts are shuffled, to drop repeats.
     """
     found = posts.select(*keys, mention_counts(F.col(text)).alias("m")).select(*keys, F.explode("m").alias("m")).select(*keys, "m.pii_type", "m.n").distinct()
-    return found.select(*keys, "pii_type", F.explode(F.sequence(F.lit(1), F.col("n"))).cast("bigint").alias("mention"))
+    return found.select(*keys, "pii_type", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n").cast("bigint"))).alias("mention"))
