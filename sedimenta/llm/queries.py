@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.llm.cooccurrence import cooccurrence
 from sedimenta.llm.leakage import leaks
+from sedimenta.llm.markup import analysed
 from sedimenta.llm.mixture import mixture, reached_shares, token_count
 from sedimenta.llm.pii import mentions, redacted
 from sedimenta.llm.quantiles import merge, percentiles, sketch
@@ -24,6 +25,20 @@ def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccurrence(scan(spark, sf_dir, "questions"), "question_id", "tags").withColumnsRenamed({"item_a": "tag_a", "item_b": "tag_b"}).withColumns({"lift": F.round("lift", 9), "llr": F.round("llr", 6)})
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = scan(spark, sf_dir, "questions").where("_record_hash IS NOT NULL").select(
+        F.col("_record_hash").alias("record_hash"), analysed(F.col("title"))["markup"].alias("title"), analysed(F.col("body"))["markup"].alias("body")
+    )
+    kinds = posts.select("record_hash", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("kinds")) for c in ("title", "body")])).alias("x"))
+    return kinds.select("record_hash", "x.field", F.explode("x.kinds").alias("markup")).distinct()
+
+
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and bodies as clean text."""
+    posts = scan(spark, sf_dir, "questions")
+    return posts.select(F.col("_record_hash").alias("record_hash"), analysed(F.col("title"))["clean"].alias("title"), analysed(F.col("body"))["clean"].alias("body"))
+
+
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [scan(spark, sf_dir, t).select(F.lit(kind).alias("post_type"), F.col("_record_hash").alias("record_hash"), "body") for t, kind in (("questions", "question"), ("answers", "answer"))]
     return parts[0].unionByName(parts[1]).where("body IS NOT NULL AND record_hash IS NOT NULL")
@@ -119,5 +134,5 @@ SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (win)""",
 QUERIES = {
     "p4_found": p4_found, "p4_pairs": p4_pairs,
     "p7_percentiles": p7_percentiles, "p7_merged_percentiles": p7_merged_percentiles,
-    "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_clean": p10_clean,
+    "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_clean": p10_clean,
 }
