@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sedimenta.plans import drifting, feeds
+from sedimenta.plans import drifting, feeds, lakehouse
 
-MODULES = [feeds, drifting]
+MODULES = [feeds, drifting, lakehouse]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
