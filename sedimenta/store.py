@@ -79,7 +79,7 @@ class VersionedTable:
         self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
         self.part_by, self.buckets = list(part_by), buckets
         self.files = Files(spark, self.path)
-        self._declared = dict(columns)
+        self._declared = {k: f"struct<{ddl_of(v, True)}>" if isinstance(v, dict) else v for k, v in columns.items()}
 
     # --- log
     def versions(self) -> list[int]:
@@ -154,9 +154,14 @@ class VersionedTable:
         target = self.read(parts=touched).select(*base.columns)
         seen = Observation()
         counts = [F.count_if(F.col(ACTION) == a).alias(name) for a, name in (("I", "inserted"), ("U", "updated"), ("D", "deleted"))]
-        acted = merge(target, source, spec).observe(seen, *counts).where(F.col(ACTION) != "D").drop(ACTION)
-        written = self._write(acted)
-        metrics = {k: int(v) for k, v in seen.get.items()}
+        merged = merge(target, source, spec)
+        written = self._write(merged.observe(seen, *counts).where(F.col(ACTION) != "D").drop(ACTION))
+        try:
+            metrics = {k: int(v) for k, v in seen.get.items()}
+        except Exception:  # noqa: BLE001 - the planner drops the observer with a branch it finds empty
+            metrics = {}
+        if len(metrics) < len(counts):
+            metrics = {k: int(v) for k, v in merged.agg(*counts).first().asDict().items()}
         if not any(metrics.values()):
             for folder in {p.rpartition("/")[0] for p in written.values()}:
                 self.files.remove(f"{self.path}/{folder}")
