@@ -228,9 +228,10 @@ def content_lines(lines: list[list], *, sigma: float = 1.0, factor: float = 0.5)
     mean = sum(smooth) / len(smooth)
     threshold = min(mean, factor * math.sqrt(sum((r - mean) ** 2 for r in smooth) / len(smooth)))
     out = []
-    for line, r in zip(lines, smooth, strict=True):
+    for line, r, own in zip(lines, smooth, ratio, strict=True):
         outside = len(line[0].strip()) - line[2]
-        if r >= threshold or line[3] or outside > 3 or _OPEN in line[0]:
+        # smoothing alone would lift a row of links beside long paragraphs
+        if min(r, 4 * own) >= threshold or line[3] or outside > 3 or _OPEN in line[0]:
             out.append(line[0])
     return out
 

@@ -58,6 +58,7 @@ LATIN_FILLER = frozenset(
 # Openings that only error pages, access or maintenance messages and script notices have, in several languages.
 TRUSTED = re.compile(
     r"^(?:error\s+)?[45]\d\d\s*[:\-–]?\s*(?:not found|bad gateway|forbidden|internal server error|service (?:temporarily )?unavailable|unauthorized|gateway time-?out|gone|bad request|too many requests)\b"
+    r"|^http (?:status|error)(?: code)?\s*:?\s*\d{2,3}\b"
     r"|^(?:error|fehler|erreur|erro|ошибка|エラー)\s*:?\s*[45]\d\d\b"
     r"|^(?:access (?:to this page )?(?:is |has been )?denied|forbidden)\b|^(?:page|seite|página|pagina)\s+(?:not found|nicht gefunden|no encontrada|não encontrada|non trovata)\b"
     r"|^page introuvable|^страница не найдена|^ページが見つかりません|^页面不存在|^accès refusé|^acceso denegado|^acesso negado|^zugriff verweigert|^доступ запрещ"
@@ -92,16 +93,13 @@ def passages(text: str | None) -> list[str]:
 
 def is_navigation(passage: str) -> bool:
     ws = _WORD.findall(passage.lower())
-    return 0 < len(ws) <= 14 and all(w in NAVIGATION for w in ws) and not re.search(r"[.!?:]$", passage)
+    return 0 < len(ws) <= 14 and all(w in NAVIGATION for w in ws) and not re.search(r"[.!?:]$|[\[\]{}<>%$@#_]", passage)
 
 
-def _mash(letters: list[str]) -> bool:
-    """Keys hit at random: hardly any vowels, runs of consonants no language has."""
-    long = [w for w in letters if len(w) >= 5 and w.isascii()]
-    if len(long) * 2 < sum(1 for w in letters if len(w) > 1) or not long:
-        return False
-    odd = sum(1 for w in long if re.search(r"[bcdfghjklmnpqrstvwxz]{4}", w) or sum(c in "aeiouy" for c in w) * 4 < len(w))
-    return odd * 5 >= len(long) * 3
+def _mash(words: list[str]) -> bool:
+    """Keys hit at random: hardly any vowels over a run of letters."""
+    letters = "".join(words)
+    return len(letters) >= 12 and letters.isascii() and sum(c in "aeiouy" for c in letters) * 5 < len(letters) and len(set(words)) > 1
 
 
 def features(passage: str) -> set[str]:
@@ -162,6 +160,7 @@ def fit(positive: Iterable[str], unlabelled: Iterable[list[str]], *, rounds: int
     docs = [[fs & vocab for fs in d] for d in docs]
     weights = [[float(t) for t in ts] if all(ts) else [0.0] * len(ts) for ts in sure]
     odds: dict[str, float] = {}
+    first = True  # one round with everything unlabelled taken as real says little about what stands beside residue
     for _ in range(rounds):
         p_count, u_count = defaultdict(float), defaultdict(float)
         np_, nu = float(len(pos)), 0.0
@@ -177,13 +176,15 @@ def fit(positive: Iterable[str], unlabelled: Iterable[list[str]], *, rounds: int
         odds = {f: math.log((p_count[f] + smooth) / (np_ + 2 * smooth)) - math.log((u_count[f] + smooth) / (nu + 2 * smooth)) for f in vocab}
         odds["<prior>"] = math.log((np_ + 1) / (nu + 1))
         for d, ts, ws in zip(docs, sure, weights, strict=True):
-            w = _sigmoid(sum(BOUND if t else _bounded(odds["<prior>"] + sum(odds[f] for f in fs)) for fs, t in zip(d, ts, strict=True))) if d else 0.0
-            ws[:] = [w] * len(d)
+            raw = [TRUST if t else odds["<prior>"] + sum(odds[f] for f in fs) for fs, t in zip(d, ts, strict=True)]
+            real = not raw or (min(raw) < REAL and not first)
+            ws[:] = [0.0 if real else _sigmoid(sum(x if t else _bounded(x) for x, t in zip(raw, ts, strict=True)))] * len(d)
+        first = False
     return {f: o for f, o in odds.items() if abs(o) > 0.2 or f == "<prior>"}
 
 
-#: What one passage can say for or against its record at most, and below what it is real content whatever stands beside it.
-BOUND, REAL = 4.0, -8.0
+#: What one passage can say for or against its record at most, what a trusted one says, and below what it is real content whatever stands beside it.
+BOUND, TRUST, REAL = 4.0, 5.0, -8.0
 
 
 def _bounded(x: float) -> float:
@@ -210,10 +211,11 @@ def judge(text: str | None, odds: dict[str, float]) -> tuple[bool, float]:
         if is_navigation(p):
             continue
         f = features(p)
-        x = BOUND if trusted(p, f) else odds["<prior>"] + sum(odds.get(k, 0.0) for k in f)
+        sure = trusted(p, f)
+        x = TRUST if sure else odds["<prior>"] + sum(odds.get(k, 0.0) for k in f)
         if x < REAL:
             return False, REAL
-        total, n = total + _bounded(x), n + 1
+        total, n = total + (x if sure else _bounded(x)), n + 1
     return n > 0 and total > 0, total
 
 
