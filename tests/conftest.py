@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("local[4]", "sedimenta-tests", 4, **{"spark.driver.memory": "2g"})
+    session = build_session("local[4]", "sedimenta-tests", 2, **{"spark.sql.codegen.wholeStage": "false", "spark.default.parallelism": "2"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
