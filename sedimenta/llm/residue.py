@@ -138,7 +138,7 @@ def trusted(passage: str, marks: set[str] | None = None) -> bool:
     return bool(f & {"<slots>", "<repeat>", "<mash>", "<latin>"}) or (len(passage) < 120 and "<code>" not in f and TRUSTED.search(passage) is not None)
 
 
-def fit(positive: Iterable[str], unlabelled: Iterable[list[str]], *, rounds: int = 6, smooth: float = 0.3, min_count: int = 2) -> dict[str, float]:
+def fit(positive: Iterable[str], unlabelled: Iterable[list[str]], *, rounds: int = 4, smooth: float = 0.3, min_count: int = 2) -> dict[str, float]:
     """Log-odds by feature, from trusted passages and records of unlabelled passages.
 
     The E step judges whole records: residue stands alone, so the bounded
@@ -177,7 +177,7 @@ def fit(positive: Iterable[str], unlabelled: Iterable[list[str]], *, rounds: int
         odds["<prior>"] = math.log((np_ + 1) / (nu + 1))
         for d, ts, ws in zip(docs, sure, weights, strict=True):
             raw = [TRUST if t else odds["<prior>"] + sum(odds[f] for f in fs) for fs, t in zip(d, ts, strict=True)]
-            real = not raw or (min(raw) < REAL and not first)
+            real = not raw or (min(raw) < REAL and not first) or any(fs & CONTENT and not t for fs, t in zip(d, ts, strict=True))
             ws[:] = [0.0 if real else _sigmoid(sum(x if t else _bounded(x) for x, t in zip(raw, ts, strict=True)))] * len(d)
         first = False
     return {f: o for f, o in odds.items() if abs(o) > 0.2 or f == "<prior>"}
@@ -185,6 +185,8 @@ def fit(positive: Iterable[str], unlabelled: Iterable[list[str]], *, rounds: int
 
 #: What one passage can say for or against its record at most, what a trusted one says, and below what it is real content whatever stands beside it.
 BOUND, TRUST, REAL = 4.0, 5.0, -8.0
+#: Marks of real content: code, or a quotation of what may be residue.
+CONTENT = frozenset({"<code>", "<quoted>"})
 
 
 def _bounded(x: float) -> float:
@@ -212,6 +214,8 @@ def judge(text: str | None, odds: dict[str, float]) -> tuple[bool, float]:
             continue
         f = features(p)
         sure = trusted(p, f)
+        if not sure and f & CONTENT:
+            return False, REAL
         x = TRUST if sure else odds["<prior>"] + sum(odds.get(k, 0.0) for k in f)
         if x < REAL:
             return False, REAL
