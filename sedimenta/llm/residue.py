@@ -32,6 +32,7 @@ BRACKET = re.compile(rf"(?<![\w\]!])\[{_NAME}\](?![\[(])")
 _TAG = re.compile(r"<(?:!--.*?--|/?(?:html|head|body|title|p|div|span|noscript|br|h[1-6]|meta|center|hr|section|main|b|i|em|strong|ul|ol|li|a|table|tr|td|th)\b[^<>]*)>", re.IGNORECASE | re.DOTALL)
 _TITLE = re.compile(r"<(title|style|script)\b[^<>]*>.*?</\1>", re.IGNORECASE | re.DOTALL)
 _QUOTED = re.compile(r"\"[^\"\n]{8,}\"|“[^”\n]{8,}”|«[^»\n]{8,}»|„[^“\n]{8,}“|`[^`\n]+`|<code>.*?</code>", re.DOTALL)
+_MAY_QUOTE, _MAY_SLOT = re.compile(r"[\"“«„`<]"), re.compile(r"[{\[<%@]|__|[uU][nN][dD][eE][fF]")
 _SENTENCE = re.compile(r"(?<=[.!?。])\s+")
 _MARKER = re.compile(r"^(?:[*>|\-]+|#+|\d+[.)])\s+")
 _IDENTIFIER = re.compile(r"\b[A-Za-z]\w*_\w+\b|\w+\(\)|\b[a-z]+\.[a-z]+\.[a-z]+\b|[=;{}\[\]<>]{2,}|\S[=<>]\S")
@@ -104,10 +105,12 @@ def _mash(words: list[str]) -> bool:
 
 def features(passage: str) -> set[str]:
     """Lower-case words and pairs of words, with slots, quotations, repeats and random keys named as such."""
-    quoted = _QUOTED.search(passage) is not None
+    quoted = _MAY_QUOTE.search(passage) is not None and _QUOTED.search(passage) is not None
     s = _QUOTED.sub(" ", passage) if quoted else passage
-    s, slots = SLOT.subn(" <slot> ", s)
-    s, more = BRACKET.subn(" <slot> ", s)
+    slots = more = 0
+    if _MAY_SLOT.search(s):
+        s, slots = SLOT.subn(" <slot> ", s)
+        s, more = BRACKET.subn(" <slot> ", s)
     code = _IDENTIFIER.search(s.replace("<slot>", " ")) is not None
     ws = [w if not w.isdigit() else "<n>" for w in _WORD.findall(s.replace("<slot>", " slotmark ").lower())]
     words = [w for w in ws if w != "slotmark"]
