@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sedimenta.functions.columns import date_key, hours_between, month_of
@@ -50,22 +50,26 @@ def item_month(facts: DataFrame, items: DataFrame, key: str, item: str, month: s
     """Per item and month: facts, counted rows, share of the month, response-time percentiles and percentages.
 
     ``facts`` has one row per key, ``items`` distinct (key, item), ``counted``
-    rows per key (replies), counted in the month of their fact.  The count of
-    replies is taken per key before the items fan out.
+    rows per key (replies), counted in the month of their fact.  Replies are
+    counted per key before the items fan out.  A month's size counts each fact
+    at its smallest item only, so facts are read once and the total is a sum
+    over the small result.  ``exact`` percentiles keep all values of a group;
+    without it a sketch does.
     """
+    pairs = items.select(key, item).distinct()
+    smallest = pairs.groupBy(key).agg(F.min(item).alias("__smallest"))
     per_key = counted.groupBy(key).agg(F.count(F.lit(1)).alias("__replies"))
-    fanned = facts.join(per_key, key, "left").join(items.select(key, item).distinct(), key)
-    sizes = facts.join(items.select(key).distinct(), key, "left_semi").groupBy(month).agg(F.count(F.lit(1)).alias("__size"))
+    fanned = facts.join(smallest, key).join(per_key, key, "left").join(pairs, key)
     rank = (lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY hours_to_first_answer)")) if exact else (lambda q: F.percentile_approx("hours_to_first_answer", q))
     agg = fanned.groupBy(item, month).agg(
-        F.count(F.lit(1)).alias("questions"), F.coalesce(F.sum("__replies"), F.lit(0)).alias("answers"),
+        F.count(F.lit(1)).alias("questions"), F.coalesce(F.sum("__replies"), F.lit(0)).alias("answers"), F.count_if(F.col(item) == F.col("__smallest")).alias("__heads"),
         F.count_if(~F.col("has_any_answer")).alias("__unanswered"), F.count_if("is_closed").alias("__closed"), F.count_if("answered_within_24h").alias("__soon"),
         F.round(rank(0.5), 4).alias("median_hours_to_first_answer"), F.round(rank(0.9), 4).alias("p90_hours_to_first_answer"),
     )
-    n = F.col("questions")
-    return agg.join(F.broadcast(sizes), month).select(  # one row per month
+    n, size = F.col("questions"), F.sum("__heads").over(Window.partitionBy(month))
+    return agg.select(
         item, month, F.date_format(month, "yyyy-MM").alias("year_month"), "questions", "answers",
-        percent(n, F.col("__size")).alias("share_of_tracked_questions"), percent(F.col("__unanswered"), n).alias("pct_unanswered"),
+        percent(n, size).alias("share_of_tracked_questions"), percent(F.col("__unanswered"), n).alias("pct_unanswered"),
         "median_hours_to_first_answer", "p90_hours_to_first_answer", percent(F.col("__closed"), n).alias("pct_closed"), percent(F.col("__soon"), n).alias("pct_answered_within_24h"),
     )
 

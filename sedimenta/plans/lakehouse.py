@@ -11,7 +11,7 @@ from sedimenta.operators.merge import applied, merge, s, t, update_only
 from sedimenta.operators.select import judged, split_by_rules
 from sedimenta.plans import gold, silver
 from sedimenta.plans.settings import SALT, TAG_CATEGORIES, TRACKED
-from sedimenta.session import scan
+from sedimenta.session import cut, scan
 
 
 def _raw(spark: SparkSession, d: str, *tables: str) -> list[DataFrame]:
@@ -24,16 +24,23 @@ def soft_deleted(rows: DataFrame, tombs: DataFrame) -> DataFrame:
     return applied(merge(rows, tombs, update_only(["question_id"], {"is_deleted": F.lit(True), "deleted_detected_at": s("deleted_detected_at")}, late)))
 
 
-def _clean(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+_ASKED = ["question_id", "created_at", "title", "score", "view_count", "answer_count", "is_closed", "closed_reason_code", "owner_user_key", "is_deleted"]
+_REPLIED = ["answer_id", "question_id", "created_at", "owner_user_key", "score", "is_accepted", "is_deleted"]
+
+
+def _clean(spark: SparkSession, d: str, with_answers: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Live questions, answers and tags; the first two feed several branches and are computed once."""
     rq, ra, rd = _raw(spark, d, "questions", "answers", "deleted_questions")
     tombs = silver.tombstones(rd)
     q, _ = split_by_rules(silver.questions(rq, SALT, TRACKED), silver.question_rules())
     a, _ = split_by_rules(silver.answers(ra, SALT), silver.answer_rules())
-    return gold.alive(soft_deleted(q, tombs), soft_deleted(a, tombs), silver.question_tags(rq, TRACKED))
+    q = cut(soft_deleted(q, tombs).where("created_at IS NOT NULL AND NOT is_deleted").select(*_ASKED))
+    q, a, tags = gold.alive(q, soft_deleted(a, tombs), silver.question_tags(rq, TRACKED))
+    return q, cut(a.select(*_REPLIED)) if with_answers else a, tags
 
 
-def _gold(f: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: f(*_clean(spark, d))
+def _gold(f: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], *, with_answers: bool = True) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: f(*_clean(spark, d, with_answers))
 
 
 def silver_questions(spark: SparkSession, d: str) -> DataFrame:
@@ -92,13 +99,13 @@ QUERIES = {
     "silver_users": silver_users, "silver_snapshots": silver_snapshots, "silver_post_text": silver_post_text, "silver_dq_counts": dq_counts,
     "silver_apply_snapshots": apply_snapshots, "silver_soft_deletes": soft_deletes,
     "gold_dim_date": _gold(lambda q, a, tags: gold.dim_date(q, a)),
-    "gold_dim_tag": _gold(lambda q, a, tags: gold.dim_tag(tags, TRACKED, TAG_CATEGORIES)),
+    "gold_dim_tag": _gold(lambda q, a, tags: gold.dim_tag(tags, TRACKED, TAG_CATEGORIES), with_answers=False),
     "gold_dim_user": lambda spark, d: gold.dim_user(silver_users(spark, d), *_clean(spark, d)[:2]),
     "gold_fact_question": _gold(lambda q, a, tags: gold.fact_question(gold.base(q, a)).drop("title")),
     "gold_fact_answer": _gold(lambda q, a, tags: gold.fact_answer(q, a)),
-    "gold_bridge_question_tag": _gold(lambda q, a, tags: gold.bridge(tags, TRACKED)),
+    "gold_bridge_question_tag": _gold(lambda q, a, tags: gold.bridge(tags, TRACKED), with_answers=False),
     "gold_agg_tag_month": _gold(lambda q, a, tags: gold.agg_tag_month(gold.base(q, a), a, tags, TRACKED, TAG_CATEGORIES)),
-    "gold_agg_tag_pairs": _gold(lambda q, a, tags: gold.agg_tag_pairs(tags, TRACKED, TAG_CATEGORIES)),
+    "gold_agg_tag_pairs": _gold(lambda q, a, tags: gold.agg_tag_pairs(tags, TRACKED, TAG_CATEGORIES), with_answers=False),
     "gold_agg_user_cohort": _gold(lambda q, a, tags: gold.agg_user_cohort(q, a)),
 }
 
