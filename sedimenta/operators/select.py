@@ -59,3 +59,9 @@ def dead_letters(failed: DataFrame, entity: str, key: str, batch: str) -> DataFr
 def without_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows that lack a key column."""
     return df.where(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys]))
+
+
+def orphans(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
+    """One row with the number of child rows whose key is set and has no parent."""
+    keys = parent.select(F.col(parent_column).alias(column))
+    return child.where(F.col(column).isNotNull()).select(column).join(keys, column, "left_anti").agg(F.count(F.lit(1)).alias("orphans"))

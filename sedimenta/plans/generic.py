@@ -12,8 +12,9 @@ from sedimenta.functions.columns import band, count_of, date_key, fingerprint_pa
 from sedimenta.operators import marts
 from sedimenta.operators import merge as m
 from sedimenta.operators.merge import s, t
-from sedimenta.operators.select import judged, mark_first, newest
+from sedimenta.operators.select import judged, mark_first, newest, orphans
 from sedimenta.session import scan
+from sedimenta.sources.landing import key_presence, reconcile
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -254,6 +255,33 @@ def fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return o.agg(F.sum(fingerprint_part(o.columns)).alias("checksum"), F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT key, count(*) AS records, count(*) / (SELECT count(*) FROM events) AS share FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY 1")
+def key_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Share of the records in which each JSON key occurs."""
+    return key_presence(scan(spark, d, "events").select(F.col("props").alias("value")))
+
+
+@query("SELECT o_orderkey, true AS is_deleted, 1700000000::BIGINT AS detected_at FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def reconcile_tombstones(spark: SparkSession, d: str) -> DataFrame:
+    """Known keys that a full look does not find any more."""
+    return reconcile(scan(spark, d, "orders"), scan(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", 1_700_000_000)
+
+
+@query("SELECT p_brand, year(l_shipdate)::INT AS year, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2")
+def volume_estimate(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by tag and year, without fetching any row."""
+    parts = scan(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    return scan(spark, d, "lineitem").select("l_partkey", F.year("l_shipdate").alias("year")).join(parts, "l_partkey").groupBy("p_brand", "year").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'lineitem.part' AS fk, count(*) AS orphans FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part) UNION ALL SELECT 'orders.customer', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'orders.lineitem', count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def fk_orphans(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose foreign key has no parent, per key."""
+    pairs = (("lineitem", "l_partkey", "part", "p_partkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("orders", "o_orderkey", "lineitem", "l_orderkey"))
+    parts = [orphans(scan(spark, d, c), ck, scan(spark, d, p), pk).select(F.lit(f"{c}.{p}").alias("fk"), "orphans") for c, ck, p, pk in pairs]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # --- merges: even events are the table, odd ones (and some later repeats of even ones) the source
 _T = "t AS (SELECT event_id // 4 AS k, max(event_id) AS v, max(value) AS value, max(event_type) AS kind, min(ts) AS lo, max(ts) AS hi FROM events WHERE event_id % 2 = 0 GROUP BY 1)"
 _S = "s AS (SELECT event_id // 6 AS k, max(event_id) AS v, max(value) AS value, max(event_type) AS kind, min(ts) AS lo, max(ts) AS hi FROM events WHERE event_id % 2 = 1 GROUP BY 1)"

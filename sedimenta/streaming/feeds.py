@@ -37,7 +37,8 @@ def deduplicated(stream: DataFrame, keys: list[str], at: str, delay: str = "1 ho
     return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def windowed_counts(stream: DataFrame, at: str, by: list[str], *, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
-    """Counts per tumbling window; rows later than ``delay`` are past it."""
-    agg = stream.withWatermark(at, delay).groupBy(F.window(at, window).alias("w"), *by).agg(F.count(F.lit(1)).alias("n"))
+def windowed_counts(stream: DataFrame, at: str, by: list[str], *, window: str = "1 day", delay: str | None = "1 hour") -> DataFrame:
+    """Counts per tumbling window; rows later than ``delay`` are past it (None: the stream has its watermark already)."""
+    marked = stream.withWatermark(at, delay) if delay else stream
+    agg = marked.groupBy(F.window(at, window).alias("w"), *by).agg(F.count(F.lit(1)).alias("n"))
     return agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "n")

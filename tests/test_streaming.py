@@ -33,7 +33,7 @@ def test_windows_count_distinct_arrivals(spark, tmp_path):
     rows = [{"id": i % 3, "at": f"2024-01-0{1 + i % 2}T00:00:0{i}Z", "kind": "a"} for i in range(6)]
     (src / "a.json").write_text("\n".join(map(json.dumps, rows)))
     stream = landed(spark, str(src), "id bigint, at timestamp, kind string")
-    out = windowed_counts(deduplicated(stream, ["id", "kind"], "at", "2 days"), "at", ["kind"])
+    out = windowed_counts(deduplicated(stream, ["id", "kind"], "at", "2 days"), "at", ["kind"], delay=None)
     q = out.writeStream.format("memory").queryName("counts").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert all(r.n <= 3 for r in spark.table("counts").collect())
