@@ -83,8 +83,8 @@ def cooccurrence(records: DataFrame, record: str, items: str, *, min_count: int
     rows = records.where(F.col(record).isNotNull()).select(F.col(record).alias("r"), normalised(F.col(items)).alias("items")).where(F.size("items") > 0).distinct()
     carried = rows.select("r", F.explode("items").alias("item")).distinct()
     n_item = carried.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
-    n = rows.agg(F.count_distinct("r").alias("n"))
-    usable = n_item.where(F.col("n_item") >= min_count).crossJoin(F.broadcast(n)).where(F.col("n_item") * min_lift <= F.col("n"))  # n is one row
+    n = rows.agg(F.count_distinct("r")).scalar()
+    usable = n_item.where(F.col("n_item") >= min_count).withColumn("n", n).where(F.col("n_item") * min_lift <= F.col("n"))
     # neighbours of an item in one record, over all rows of the record
     near = (
         rows.where(F.size("items") > 1)

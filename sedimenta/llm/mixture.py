@@ -190,9 +190,9 @@ def reached_shares(taken: DataFrame, targets: DataFrame) -> DataFrame:
     per = taken.groupBy("source").agg(
         F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.sum("copies").alias("copies"), F.max("copies").alias("max_copies"),
     )
-    whole = per.agg(F.sum("tokens").alias("all_tokens"))
+    whole = per.agg(F.sum("tokens")).scalar()
     return (
-        targets.select("source", "target_share").join(per, "source", "left").crossJoin(F.broadcast(whole))  # one row
+        targets.select("source", "target_share").join(per, "source", "left").withColumn("all_tokens", whole)
         .select(
             "source", "target_share", F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("share"),
             *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "documents", "copies", "max_copies")],
