@@ -97,9 +97,9 @@ def cohort_retention(posts: DataFrame, user: str, at: str) -> DataFrame:
     users = months.groupBy(user).agg(F.min("__m").alias("cohort_month"))
     since = F.months_between("__m", "cohort_month").cast("int")
     active = months.join(users, user).select("cohort_month", since.alias("months_since")).groupBy("cohort_month", "months_since").agg(F.count(F.lit(1)).alias("users_active"))
-    latest = months.agg(F.max("__m").alias("__last"))
+    latest = months.agg(F.max("__m")).scalar()
     grid = (
-        users.groupBy("cohort_month").agg(F.count(F.lit(1)).alias("users_in_cohort")).crossJoin(F.broadcast(latest))  # one row
+        users.groupBy("cohort_month").agg(F.count(F.lit(1)).alias("users_in_cohort")).withColumn("__last", latest)
         .select("cohort_month", "users_in_cohort", F.explode(F.sequence(F.lit(0), F.greatest(F.months_between("__last", "cohort_month").cast("int"), F.lit(0)))).alias("months_since"))
     )
     joined = grid.join(active, ["cohort_month", "months_since"], "left").withColumn("users_active", F.coalesce("users_active", F.lit(0)))

@@ -244,8 +244,8 @@ def topk(spark: SparkSession, d: str) -> DataFrame:
 def ratio_to_total(spark: SparkSession, d: str) -> DataFrame:
     o = scan(spark, d, "orders")
     per = o.groupBy(month_of(F.col("o_orderdate")).alias("month_start")).agg(date_key(F.min("o_orderdate")).alias("first_key"), F.count(F.lit(1)).alias("n"))
-    total = per.agg(F.sum("n").alias("__all"))
-    return per.crossJoin(F.broadcast(total)).select("month_start", "first_key", "n", marts.percent(F.col("n"), F.col("__all")).alias("share"))  # one row
+    total = per.agg(F.sum("n")).scalar()
+    return per.select("month_start", "first_key", "n", marts.percent(F.col("n"), total).alias("share"))
 
 
 @query(None)

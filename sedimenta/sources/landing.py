@@ -92,5 +92,5 @@ def key_presence(lines_: DataFrame, column: str = "value") -> DataFrame:
     """Share of the records in which each top-level key occurs."""
     objs = lines_.where(F.json_object_keys(column).isNotNull())
     keys = objs.select(F.explode(F.array_distinct(F.json_object_keys(column))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("records"))
-    total = objs.agg(F.count(F.lit(1)).alias("n"))
-    return keys.crossJoin(F.broadcast(total)).select("key", "records", (F.col("records") / F.col("n")).alias("share"))  # one row
+    total = objs.agg(F.count(F.lit(1))).scalar()
+    return keys.select("key", "records", (F.col("records") / total).alias("share"))
