@@ -1 +1 @@
-
+"""Column functions and schema edit scripts."""

@@ -1 +1 @@
-
+"""Layers, marts and the query catalogue."""

@@ -1 +1 @@
-
+"""Where records come from: landed batches and a paged API."""
