@@ -60,7 +60,7 @@ LATIN_FILLER = frozenset(
 TRUSTED = re.compile(
     r"^(?:error\s+)?[45]\d\d\s*[:\-–]?\s*(?:not found|bad gateway|forbidden|internal server error|service (?:temporarily )?unavailable|unauthorized|gateway time-?out|gone|bad request|too many requests)\b"
     r"|^http (?:status|error)(?: code)?\s*:?\s*\d{2,3}\b"
-    r"|^(?:error|fehler|erreur|erro|ошибка|エラー)\s*:?\s*[45]\d\d\b"
+    r"|^(?:error|errore|fehler|erreur|erro|fout|fel|feil|fejl|virhe|błąd|chyba|hiba|hata|ошибка|помилка|エラー|错误|錯誤|오류)\s*:?\s*[45]\d\d\b"
     r"|^(?:access (?:to this page )?(?:is |has been )?denied|forbidden)\b|^(?:page|seite|página|pagina)\s+(?:not found|nicht gefunden|no encontrada|não encontrada|non trovata)\b"
     r"|^page introuvable|^страница не найдена|^ページが見つかりません|^页面不存在|^accès refusé|^acceso denegado|^acesso negado|^zugriff verweigert|^доступ запрещ"
     r"|^(?:please |you (?:need|have) to )?(?:enable|activate|turn on|allow) (?:java)?scripts?\b.{0,60}$|^(?:this (?:page|site|app|application) )?(?:needs|requires) java ?scripts?\b"
