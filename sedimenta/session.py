@@ -18,6 +18,7 @@ def build_session(master: str = "local[*]", app: str = "sedimenta", shuffle_part
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.parquet.filterPushdown": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     } | {k: str(v) for k, v in extra.items()}
