@@ -69,6 +69,7 @@ def script(
     delete: float = 0.5,
     add: float = 0.5,
     moves: bool = False,
+    inside: bool = False,
     here: Path = (),
     there: Path = (),
 ) -> tuple[float, list[Edit]]:
@@ -77,8 +78,9 @@ def script(
     Trees map names to None (leaf) or to a subtree.  ``relabel(path, path)`` is
     the cost of a rename, FORBIDDEN if the two cannot be one field.  Only
     fields in ``mandatory`` can be deleted or renamed; others may be absent.
+    With ``inside`` the renames below a renamed struct are listed as well.
     """
-    more = {"mandatory": mandatory, "delete": delete, "add": add}
+    more = {"mandatory": mandatory, "delete": delete, "add": add, "inside": inside}
     total, edits = 0.0, []
     lost = [k for k in contract if k not in seen and (*here, k) in mandatory]
     extra = [k for k in seen if k not in contract]
@@ -87,6 +89,7 @@ def script(
             cost, below = script(contract[k], seen[k], relabel, here=(*here, k), there=(*there, k), **more)
             total, edits = total + cost, edits + below
     pairs: dict[str, str] = {}
+    within: dict[tuple[str, str], list[Edit]] = {}
     if lost and extra:
         costs = []
         for k in lost:
@@ -94,7 +97,8 @@ def script(
             for x in extra:
                 cost = relabel((*here, k), (*there, x))
                 if cost < FORBIDDEN and contract[k] and seen[x]:
-                    cost += script(contract[k], seen[x], relabel, here=(*here, k), there=(*there, x), **more)[0]
+                    below_cost, within[k, x] = script(contract[k], seen[x], relabel, here=(*here, k), there=(*there, x), **more)
+                    cost += below_cost
                 row.append(cost)
             costs.append(row + [delete + add] * len(lost))  # the last columns stand for a deletion
         for r, j in enumerate(assign(costs)):
@@ -105,6 +109,8 @@ def script(
     new = [x for x in extra if x not in pairs.values()]
     total += delete * len(gone) + add * len(new)
     edits += [Edit(RENAME, (*here, k), (*there, x)) for k, x in pairs.items()]
+    if inside:
+        edits += [e for pair in pairs.items() for e in within.get(pair, []) if e.kind == RENAME]
     edits += [Edit(DELETE, (*here, k), ()) for k in gone] + [Edit(ADD, (*there, x), (*there, x)) for x in new]
     if moves:
         lost_at = {e.path[-1]: e for e in edits if e.kind == DELETE}

@@ -139,7 +139,7 @@ W_NAME, W_VALUE, W_CHANCE, DELETE_ADD = 0.5, 0.9, 0.7, 1.0
 RARE = 0.2
 
 
-def _file_script(pdf: pd.DataFrame) -> pd.DataFrame:
+def _file_script(pdf: pd.DataFrame, inside: bool) -> pd.DataFrame:
     """All changes of one file, from its profile and the statistics of the names."""
     entity, source = pdf["entity"].iloc[0], pdf["source_file"].iloc[0]
     contract = CONTRACTS[entity]
@@ -182,7 +182,7 @@ def _file_script(pdf: pd.DataFrame) -> pd.DataFrame:
         return W_NAME * name + W_VALUE * value + W_CHANCE * chance * likeness
 
     mandatory = frozenset(tuple(p.split(".")) for p in contract.mandatory)
-    _, edits = script(tree, seen, relabel, mandatory=mandatory, delete=DELETE_ADD / 2, add=DELETE_ADD / 2)
+    _, edits = script(tree, seen, relabel, mandatory=mandatory, delete=DELETE_ADD / 2, add=DELETE_ADD / 2, inside=inside)
     rows = [(e.kind, e.path, e.seen) for e in edits]
     for p, got in kinds.items():
         want = wanted(p) if len(p) == 1 or p[0] == JUDGED else None
@@ -192,7 +192,7 @@ def _file_script(pdf: pd.DataFrame) -> pd.DataFrame:
     return out.assign(entity=entity, source_file=source)[["entity", "source_file", "change_kind", "column_path", "seen_path", "lines"]]
 
 
-def schema_changes(lines: DataFrame, **columns: str) -> DataFrame:
+def schema_changes(lines: DataFrame, *, inside: bool = False, **columns: str) -> DataFrame:
     """Each change per file: entity, source_file, change_kind, column_path, seen_path, lines.
 
     ``lines`` holds raw lines of many files (``entity``, ``_source_file``,
@@ -201,6 +201,9 @@ def schema_changes(lines: DataFrame, **columns: str) -> DataFrame:
     only such lines shows no change.  A null line is unreadable.  Repeated rows
     change only ``lines``, the number of lines that show the changed field.
 
+    With ``inside`` the renames of fields of a renamed ``owner`` come as well; the
+    report leaves them out, but a projection needs them.
+
     A file with any share of all lines is counted by a combining aggregate;
     what reaches one task is a row per type of the contract's fields and of the
     names that many lines of one file have.  Statistics of a name over all files travel with its rows, so nothing
@@ -234,18 +237,19 @@ def schema_changes(lines: DataFrame, **columns: str) -> DataFrame:
     occurs = kinds.groupBy(*FILE, "parent", "name").agg(F.sum("n").alias("lines"))
     usual = occurs.groupBy(*FILE, "parent").agg(F.max("lines").alias("most"))
     extra = occurs.join(declared, NAME, "left_anti").join(usual, [*FILE, "parent"])
-    rare = extra.where(F.col("lines") < F.col("most") * RARE)
+    nested = sorted({k for c in CONTRACTS.values() for k in c.tree.get(JUDGED, {})})  # contract names, also where the owner has another name
+    rare = extra.where((F.col("lines") < F.col("most") * RARE) & ~((F.col("parent") != "") & F.col("name").isin(nested)))
     judged = (F.col("parent") == JUDGED) & F.col("entity").isin([e for e, c in CONTRACTS.items() if JUDGED in c.tree])
     added = rare.where((F.col("parent") == "") | judged).select(*FILE, F.lit("added").alias("change_kind"), F.concat_ws(".", F.when(F.col("parent") != "", F.col("parent")), "name").alias("column_path"), "lines")
     added = added.withColumn("seen_path", F.col("column_path")).select("entity", "source_file", "change_kind", "column_path", "seen_path", "lines")
     frequent = kinds.join(rare.select(*FILE, "parent", "name"), [*FILE, "parent", "name"], "left_anti")
     rows = frequent.join(stats, NAME).select(*absent.columns).unionByName(absent)
-    return rows.groupBy(*FILE).applyInPandas(_file_script, CHANGE_DDL).unionByName(added)
+    return rows.groupBy(*FILE).applyInPandas(lambda pdf: _file_script(pdf, inside), CHANGE_DDL).unionByName(added)
 
 
 def scripts(changes: DataFrame) -> DataFrame:
-    """One row per file: the map contract field -> name in the file of its renames."""
-    renamed = changes.where("change_kind = 'renamed' AND column_path NOT LIKE 'owner.%'")
+    """One row per file: the map contract path -> path in the file of its renames."""
+    renamed = changes.where("change_kind = 'renamed'")
     return renamed.groupBy(*FILE).agg(F.map_from_entries(F.collect_list(F.struct("column_path", "seen_path"))).alias("renames"))
 
 
@@ -258,18 +262,25 @@ def read_consistent(lines: DataFrame, changes: DataFrame, entity: str, *, source
 
     Each file's script is applied as a projection: a contract column is read
     from the name it has in that file and cast; a value that the type does not
-    take becomes null.  Columns: source_file, then the contract; nested structs
+    take becomes null.  The fields of ``owner`` are read likewise, each from its
+    name in the file; fields of a renamed ``owner`` need ``changes`` with
+    ``inside``.  Columns: source_file, then the contract; other nested structs
     are read from their JSON text.
     """
     tree = CONTRACTS[entity].tree
     mine = lines.where(F.col("entity") == entity).select(F.col(source).alias("source_file"), F.col(raw).alias("__raw"))
     fields = mine.where(F.pandas_udf(_readable, "boolean")("__raw")).join(scripts(changes.where(F.col("entity") == entity)).drop("entity"), "source_file", "left")
-    fields = fields.withColumn("__f", F.from_json("__raw", "map<string,string>"))
+    judged = F.coalesce(F.element_at("renames", F.lit(JUDGED)), F.lit(JUDGED))  # what the file calls it
+    fields = fields.withColumn("__f", F.from_json("__raw", "map<string,string>")).withColumn("__o", F.from_json(F.element_at("__f", judged), "map<string,string>"))
+
+    def typed(text: Column, kind: str) -> Column:
+        return F.from_json(text, kind) if kind.startswith("array") else text.try_cast(kind)
 
     def column(name: str, kind: object) -> Column:
+        if name == JUDGED and isinstance(kind, dict):
+            seen = {k: F.substr(F.element_at("renames", F.lit(f"{name}.{k}")), F.length(judged) + 2) for k in kind}
+            return F.when(F.col("__o").isNotNull(), F.struct(*[typed(F.element_at("__o", F.coalesce(seen[k], F.lit(k))), v).alias(k) for k, v in kind.items()])).alias(name)
         text = F.element_at("__f", F.coalesce(F.element_at("renames", F.lit(name)), F.lit(name)))
-        if isinstance(kind, dict):
-            return F.from_json(text, ddl_of(kind)).alias(name)
-        return (F.from_json(text, kind) if kind.startswith("array") else text.try_cast(kind)).alias(name)
+        return (F.from_json(text, ddl_of(kind)) if isinstance(kind, dict) else typed(text, kind)).alias(name)
 
     return fields.select("source_file", *[column(k, v) for k, v in tree.items()])

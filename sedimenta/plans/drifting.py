@@ -15,7 +15,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The readable question lines as one table."""
     lines = scan(spark, sf_dir, "quarantine_records")
-    return read_consistent(lines, cut(schema_changes(lines)), "questions")
+    return read_consistent(lines, cut(schema_changes(lines, inside=True)), "questions")
 
 
 QUERIES = {"p3_found": p3_found, "p3_questions": p3_questions}

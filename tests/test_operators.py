@@ -114,6 +114,22 @@ def test_drift_report_and_consistent_read(spark):
     assert name_distance("view_count", "viewCount") == 0 and name_distance("owner", "author") == 1
 
 
+def test_renames_inside_owner_reach_the_table(spark):
+    owner = '{"user_id": %d, "%s": "registered", "%s": "Nick %d", "reputation": 5}'
+    line = '{"answer_id": %d, "question_id": 1, "body": "b", "%s": %s, "is_accepted": true, "score": 1, "creation_date": 5, "last_activity_date": 5, "content_license": "CC"}'
+    names = {"f1": ("owner", "user_type", "display_name"), "f2": ("owner", "userType", "displayName"), "f3": ("ownerInfo", "userType", "display_name"), "f4": ("owner", "user_type", "display_name")}
+    rows = [("answers", f, line % (i, o, owner % (i, t, d, i))) for f, (o, t, d) in names.items() for i in range(12)]
+    rows += [("answers", "f2", line % (i, "owner", x)) for i, x in ((90, "null"), (91, '"text"'), (92, "[1]"), (93, '{"user_id": "x", "userType": null}'))]
+    df = spark.createDataFrame(rows, "entity string, _source_file string, raw_record string")
+    changes = schema_changes(df, inside=True).cache()
+    report = {(r.source_file, r.change_kind, r.column_path, r.seen_path) for r in schema_changes(df).collect()}
+    assert ("f2", "renamed", "owner.user_type", "owner.userType") in report and not any(f == "f3" and "." in p for f, _, p, _ in report)
+    got = {(r.source_file, r.answer_id): r.owner for r in read_consistent(df, changes, "answers").collect()}
+    assert len(got) == len(rows)
+    assert all((o.user_type, o.display_name, o.user_id, o.reputation) == ("registered", f"Nick {i}", i, 5) for (_, i), o in got.items() if i < 12)
+    assert [got["f2", i] for i in (90, 91, 92)] == [None] * 3 and got["f2", 93].user_id is None and got["f2", 93].user_type is None
+
+
 def test_select_operators(spark):
     df = spark.createDataFrame([(1, 5, "a"), (1, 7, "b"), (2, None, "c"), (2, 1, "d")], "k bigint, at bigint, v string")
     assert sorted(r.v for r in newest(df, ["k"], [F.desc_nulls_last("at")]).collect()) == ["b", "d"]
