@@ -104,11 +104,15 @@ LEADING = re.compile(
 )
 _GERMAN = re.compile(r"(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|damm|ufer|chaussee|STRASSE|WEG|GASSE|ALLEE|PLATZ)\s\d")
 _PAIR = re.compile(rf"([{_U}][\w'’\-]*)\.?,?\s(?=[{_U}])")
+_INITIALS = re.compile(rf"{_INITIAL}\s[{_U}]")  # a name may begin with any initial, also one that is a word
 _STOPPED = frozenset(NOT_NAMES.lower().split("|"))
 
 
-def find(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, type) of all mentions, in order, without overlaps; the more specific form wins."""
+def find(text: str | None, *, cheap: bool = True) -> list[tuple[int, int, str]]:
+    """(start, end, type) of all mentions, in order, without overlaps; the more specific form wins.
+
+    Without ``cheap`` every pattern is run, whatever its cheap test says.
+    """
     if not text:
         return []
     spans: list[tuple[int, int, str]] = []
@@ -117,19 +121,19 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
         if not any(start < e and s < end for s, e, _ in spans):
             spans.append((start, end, kind))
 
-    if any(k in text for k in _MAY_EMAIL):
+    if not cheap or any(k in text for k in _MAY_EMAIL):
         for m in EMAIL.finditer(text):
             if not m.group().lower().startswith("git@"):
                 add(m.start(), m.end(), "email")
-    if (LEADING.search(text) or _GERMAN.search(text)) is not None:
+    if not cheap or (LEADING.search(text) or _GERMAN.search(text)) is not None:
         for m in ADDRESS.finditer(text):
             add(m.start(), m.end(), "street_address")
     low = text.lower()
-    if any(k in low for k in _MAY_ID):
+    if not cheap or any(k in low for k in _MAY_ID):
         for m in ID_NUMBER.finditer(text):
             if _digits(m.group(1)) >= 5:
                 add(m.start(1), m.end(1), "id_number")
-    if _MAY_NUMBER.search(text):
+    if not cheap or _MAY_NUMBER.search(text):
         for m in SSN.finditer(text):
             add(m.start(), m.end(), "id_number")
         for m in PHONE.finditer(text):
@@ -138,7 +142,7 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
         for m in DATE.finditer(text):
             if _date(m.group(1)):
                 add(m.start(1), m.end(1), "birth_date")
-    if any(w.lower() not in _STOPPED for w in _PAIR.findall(text)):
+    if not cheap or _INITIALS.search(text) or any(w.lower() not in _STOPPED for w in _PAIR.findall(text)):
         for m in NAME.finditer(text):
             add(m.start(), m.end(), "person_name")
     return sorted(spans)

@@ -69,6 +69,17 @@ KEY = b"k"
 def test_mentions(text, kinds):
     assert [k for _, _, k in pii.find(text)] == kinds
 
+@pytest.mark.parametrize("text", ["My colleague A. Ferrantello wrote", "Regards\nI. Kestrelby", "I owe this idea to I. Falkenmoor", "the script of A. Oyelundo"])
+def test_initials_that_are_words(text):
+    assert [k for _, _, k in pii.find(text)] == ["person_name"]
+
+def test_cheap_test_never_rules_out_a_name():
+    rng = random.Random(4)
+    words = ["A.", "I.", "A", "I", "B.", "The", "Hello", "Regards", "Dr.", "Ferrantello", "Oona", "Oona,", "O'Brien", "ZOFIA", "Street", "will", "wrote", "d’Arc", "I'm", "Anna-Maria"]
+    for _ in range(3000):
+        s = "".join(rng.choice(words) + rng.choice([" ", " ", "\n", ", ", ". "]) for _ in range(rng.randint(2, 4)))
+        assert pii.find(s) == pii.find(s, cheap=False), s
+
 def test_redaction_changes_nothing_else_and_links_equal_values():
     text = "Ask Oona Ferrantello (oona@example.org), SSN 666-10-9004, or OONA FERRANTELLO again; x = 5."
     out = pii.redact_text(text, KEY)
