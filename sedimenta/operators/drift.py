@@ -14,6 +14,7 @@ import json
 import math
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -267,9 +268,19 @@ def read_consistent(lines: DataFrame, changes: DataFrame, entity: str, *, source
     ``inside``.  Columns: source_file, then the contract; other nested structs
     are read from their JSON text.
     """
-    tree = CONTRACTS[entity].tree
-    mine = lines.where(F.col("entity") == entity).select(F.col(source).alias("source_file"), F.col(raw).alias("__raw"))
-    fields = mine.where(F.pandas_udf(_readable, "boolean")("__raw")).join(scripts(changes.where(F.col("entity") == entity)).drop("entity"), "source_file", "left")
+    return read_records(lines, changes, (entity,), source=source, raw=raw).drop("entity")
+
+
+def read_records(lines: DataFrame, changes: DataFrame, entities: Iterable[str] = tuple(CONTRACTS), *, source: str = "_source_file", raw: str = "raw_record") -> DataFrame:
+    """Readable records of all ``entities`` as one long table, read as ``read_consistent`` does.
+
+    Columns: entity, source_file, then every column of the contracts once, in
+    their order; a column that the entity's contract lacks is null.  Lines of
+    other entities are left out.  Every line is read once.
+    """
+    entities = list(entities)
+    mine = lines.where(F.col("entity").isin(entities)).select("entity", F.col(source).alias("source_file"), F.col(raw).alias("__raw"))
+    fields = mine.where(F.pandas_udf(_readable, "boolean")("__raw")).join(scripts(changes.where(F.col("entity").isin(entities))), FILE, "left")
     judged = F.coalesce(F.element_at("renames", F.lit(JUDGED)), F.lit(JUDGED))  # what the file calls it
     fields = fields.withColumn("__f", F.from_json("__raw", "map<string,string>")).withColumn("__o", F.from_json(F.element_at("__f", judged), "map<string,string>"))
 
@@ -279,8 +290,17 @@ def read_consistent(lines: DataFrame, changes: DataFrame, entity: str, *, source
     def column(name: str, kind: object) -> Column:
         if name == JUDGED and isinstance(kind, dict):
             seen = {k: F.substr(F.element_at("renames", F.lit(f"{name}.{k}")), F.length(judged) + 2) for k in kind}
-            return F.when(F.col("__o").isNotNull(), F.struct(*[typed(F.element_at("__o", F.coalesce(seen[k], F.lit(k))), v).alias(k) for k, v in kind.items()])).alias(name)
+            return F.when(F.col("__o").isNotNull(), F.struct(*[typed(F.element_at("__o", F.coalesce(seen[k], F.lit(k))), v).alias(k) for k, v in kind.items()]))
         text = F.element_at("__f", F.coalesce(F.element_at("renames", F.lit(name)), F.lit(name)))
-        return (F.from_json(text, ddl_of(kind)) if isinstance(kind, dict) else typed(text, kind)).alias(name)
-
-    return fields.select("source_file", *[column(k, v) for k, v in tree.items()])
+        return F.from_json(text, ddl_of(kind)) if isinstance(kind, dict) else typed(text, kind)
+
+    having: dict[str, dict[str, object]] = defaultdict(dict)  # column -> entity -> type
+    for e in entities:
+        for name, kind in CONTRACTS[e].tree.items():
+            having[name][e] = kind
+    out = []
+    for name, kinds in having.items():
+        value = column(name, next(iter(kinds.values())))  # contracts agree on the type of a name
+        # a field of this name outside the contract of its entity is no value of the column
+        out.append((value if len(kinds) == len(entities) else F.when(F.col("entity").isin(list(kinds)), value)).alias(name))
+    return fields.select("entity", "source_file", *out)

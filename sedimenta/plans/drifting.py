@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimenta.operators.drift import read_consistent, schema_changes
+from sedimenta.operators.drift import read_consistent, read_records, schema_changes
 from sedimenta.session import cut, scan
 
 
@@ -18,5 +18,11 @@ def p3_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_consistent(lines, cut(schema_changes(lines, inside=True)), "questions")
 
 
-QUERIES = {"p3_found": p3_found, "p3_questions": p3_questions}
+def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readable lines of all entities as one table."""
+    lines = scan(spark, sf_dir, "quarantine_records")
+    return read_records(lines, cut(schema_changes(lines, inside=True)))
+
+
+QUERIES = {"p3_found": p3_found, "p3_questions": p3_questions, "p3_records": p3_records}
 ORACLES: dict[str, str] = {}

@@ -5,11 +5,12 @@ import random
 
 from pyspark.sql import functions as F
 
+from sedimenta.contracts import RAW, ddl_of
 from sedimenta.functions import columns as c
 from sedimenta.functions.tree_edit import ADD, DELETE, FORBIDDEN, MOVE, RENAME, assign, script
 from sedimenta.operators import marts
 from sedimenta.operators.changefeed import apply_changes
-from sedimenta.operators.drift import name_distance, read_consistent, schema_changes, strict_object
+from sedimenta.operators.drift import name_distance, read_consistent, read_records, schema_changes, strict_object
 from sedimenta.operators.history import latest_observation, versions
 from sedimenta.operators.select import mark_first, newest, split_by_rules
 
@@ -130,6 +131,25 @@ def test_renames_inside_owner_reach_the_table(spark):
     assert [got["f2", i] for i in (90, 91, 92)] == [None] * 3 and got["f2", 93].user_id is None and got["f2", 93].user_type is None
 
 
+def test_records_of_all_entities_in_one_table(spark):
+    kinds = {f.name: {e: t[f.name] for e, t in RAW.items() if f.name in t} for e in RAW for f in spark.createDataFrame([], ddl_of(RAW[e])).schema}
+    assert all(len({str(k) for k in by.values()}) == 1 for by in kinds.values())  # contracts agree on the type of a name
+    rows = [("questions", "q", '{"question_id": 1, "title": "t", "owner": {"user_id": 2}, "detected_at": 9}'), ("answers", "a", '{"answer_id": 3, "title": "not in the contract", "score": 4}')]
+    rows += [("deleted_questions", "d", '{"question_id": 5, "is_deleted": true, "detected_at": 6}'), ("question_snapshots", "s", '{"question_id": 7, "snapshot_at": 8}')]
+    rows += [("answers", None, '{"answer_id": 4}'), ("answers", "a", "not json"), ("nobody", "n", "{}")]
+    df = spark.createDataFrame(rows, "entity string, _source_file string, raw_record string")
+    changes = schema_changes(df, inside=True).cache()
+    table = read_records(df, changes).cache()
+    assert table.columns == ["entity", "source_file", *kinds]
+    got = {(r.entity, r.source_file): r for r in table.collect()}
+    assert set(got) == {("questions", "q"), ("answers", "a"), ("deleted_questions", "d"), ("question_snapshots", "s"), ("answers", None)}
+    assert got["questions", "q"].owner.user_id == 2 and got["questions", "q"].detected_at is None
+    assert (got["answers", "a"].answer_id, got["answers", "a"].title, got["answers", "a"].score) == (3, None, 4)
+    assert got["deleted_questions", "d"].is_deleted is True and got["question_snapshots", "s"].snapshot_at == 8
+    for e in RAW:
+        assert table.where(F.col("entity") == e).select("source_file", *RAW[e]).exceptAll(read_consistent(df, changes, e)).count() == 0
+
+
 def test_select_operators(spark):
     df = spark.createDataFrame([(1, 5, "a"), (1, 7, "b"), (2, None, "c"), (2, 1, "d")], "k bigint, at bigint, v string")
     assert sorted(r.v for r in newest(df, ["k"], [F.desc_nulls_last("at")]).collect()) == ["b", "d"]
