@@ -55,11 +55,12 @@ _U, _L = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĖĘĚĞĢĪĮŁĽŃŇŌŐŒŘŚŞŠŤŪ
 _CAP = rf"[{_U}][{_U}{_L}'’.\-]*"
 _SUFFIX = r"(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Close|Court|Ct|Drive|Dr|Boulevard|Blvd|Way|Place|Pl|Square|Sq|Terrace|Crescent|Row|Hill|Gardens|Grove|Parkway|Pkwy|Highway|Hwy|Walk|Mews|Quay|Wharf|Circle|Trail|Alley)"
 _FLAT = r"(?:Flat|Apt|Apartment|Unit|Suite|Room|Wohnung|Piso|Appt)\.?\s?#?\w{1,5}"
+_RUE = r"(?:\s?(?:bis|ter))?,?\s(?:rue|avenue|boulevard|place|chemin|allée|impasse|quai|cours|route)\s"  # after the number
 _TOWN = rf"(?:,\s(?:\d{{4,5}}\s)?[{_U}][{_U}{_L}'’\-]+(?:\s[{_U}][{_L}'’\-]+){{0,2}}(?:\s\d{{4,5}}(?:-\d{{4}})?)?)?"
 ADDRESS = re.compile(
     rf"(?:(?<!\w){_FLAT},\s)?(?<![\w.\-/#])(?:"
     rf"\d{{1,5}}[a-z]?,?\s(?:{_CAP}\s){{1,4}}{_SUFFIX}\b\.?"
-    rf"|\d{{1,5}}(?:\s?(?:bis|ter))?,?\s(?:rue|avenue|boulevard|place|chemin|allée|impasse|quai|cours|route)\s(?:(?:des?|du|de\sla|la|le|les)\s|de\sl'|d'|l')?{_CAP}(?:\s{_CAP})?"
+    rf"|\d{{1,5}}{_RUE}(?:(?:des?|du|de\sla|la|le|les)\s|de\sl'|d'|l')?{_CAP}(?:\s{_CAP})?"
     rf"|(?:Calle|Avenida|Plaza|Paseo|Camino|Carrera|Rua|Travessa|Largo|Via|Viale|Piazza|Corso)\s(?:(?:del?|de\sla|de\slos|de\slas|do|da|dos|das|della|dei)\s)?{_CAP}(?:\s{_CAP})?,?\s\d{{1,5}}"
     rf"|[{_U}][{_U}{_L}\-]*(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|damm|ufer|chaussee|STRASSE|WEG|GASSE|ALLEE|PLATZ)\s\d{{1,4}}[a-z]?"
     rf")(?:,\s{_FLAT})?{_TOWN}(?:,\s{_FLAT})?(?!\w)"
@@ -94,12 +95,14 @@ def _digits(s: str) -> int:
 
 
 # Cheap tests that a text must pass before a pattern is run over it; they never rule out a match.
-_MAY_EMAIL = ("@", " dot ", " DOT ", "(at", "[at", "{at", "(AT", "[AT", "{AT", "( at", "[ at", "&#", "&commat", "(dot", "[dot")
-_MAY_ID = ("pass", "pasa", "licen", "lizenz", "schein", "permis", "ssn", "social", "sozial", "number", "insur", "nhs", "tax", "tin", "steuer", "ident", "id card", "id-card", "driver", "national id", "ausweis", "personal id", "voter", "citizen", "dula", "pesel", "bsn", "nif", "nie", "dni", "cpf", "curp", "fiscal", "nino", "num")
-_MAY_NUMBER = re.compile(r"\d[\d).]*[ .\-(]\(?\d{2}|\+\d|(?<!\d)00[1-9]\d{9}")
+# Those on folded text are for patterns that ignore case; each names what every form of its pattern has.
+_MAY_EMAIL = ("@", "&#", "&commat")
+_MAY_AT = re.compile(r"[\[({]\s?at\s?[\])}]|\sdot\s")
+_MAY_ID = ("pass", "pasa", "licen", "lizenz", "schein", "permis", "ssn", "ni n", "policy", "social", "sozial", "number", "insur", "nhs", "tax", "tin", "steuer", "ident", "id card", "id-card", "driver", "national id", "ausweis", "personal id", "voter", "citizen", "dula", "pesel", "bsn", "nif", "nie", "dni", "cpf", "curp", "fiscal", "nino", "num")
+_MAY_NUMBER = re.compile(r"\d[\d).]*[ .\-(]\(?\d{2}|\+\d|(?<!\d)00[1-9]\d{9}|\(0\d{2,4}\)")
 _TAIL = re.compile(r"(?:ext|x|extension|poste|durchwahl)\.?\s?\d+$", re.IGNORECASE)
 LEADING = re.compile(
-    rf"\d[a-z]?,?\s(?:[{_U}]\S*\s(?:\S+\s){{0,3}}?{_SUFFIX}\b|(?:bis\s|ter\s)?(?:rue|avenue|boulevard|place|chemin|allée|impasse|quai|cours|route)\s)"
+    rf"\d[a-z]?,?\s[{_U}]\S*\s(?:\S+\s){{0,3}}?{_SUFFIX}\b|\d{_RUE}"
     r"|\b(?:Calle|Avenida|Plaza|Paseo|Camino|Carrera|Rua|Travessa|Largo|Via|Viale|Piazza|Corso)\s"
 )
 _GERMAN = re.compile(r"(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|damm|ufer|chaussee|STRASSE|WEG|GASSE|ALLEE|PLATZ)\s\d")
@@ -108,6 +111,15 @@ _INITIALS = re.compile(rf"{_INITIAL}\s[{_U}]")  # a name may begin with any init
 _STOPPED = frozenset(NOT_NAMES.lower().split("|"))
 
 
+#: Letters that ignoring case takes for ASCII ones, besides what lower() turns into them.
+_FOLDED = {0x131: "i", 0x17F: "s", 0x307: None}
+
+
+def _folded(text: str) -> str:
+    low = text.lower()
+    return low if low.isascii() else low.translate(_FOLDED)
+
+
 def find(text: str | None, *, cheap: bool = True) -> list[tuple[int, int, str]]:
     """(start, end, type) of all mentions, in order, without overlaps; the more specific form wins.
 
@@ -121,14 +133,14 @@ def find(text: str | None, *, cheap: bool = True) -> list[tuple[int, int, str]]:
         if not any(start < e and s < end for s, e, _ in spans):
             spans.append((start, end, kind))
 
-    if not cheap or any(k in text for k in _MAY_EMAIL):
+    low = _folded(text)
+    if not cheap or any(k in low for k in _MAY_EMAIL) or _MAY_AT.search(low):
         for m in EMAIL.finditer(text):
             if not m.group().lower().startswith("git@"):
                 add(m.start(), m.end(), "email")
     if not cheap or (LEADING.search(text) or _GERMAN.search(text)) is not None:
         for m in ADDRESS.finditer(text):
             add(m.start(), m.end(), "street_address")
-    low = text.lower()
     if not cheap or any(k in low for k in _MAY_ID):
         for m in ID_NUMBER.finditer(text):
             if _digits(m.group(1)) >= 5:

@@ -80,6 +80,46 @@ def test_cheap_test_never_rules_out_a_name():
         s = "".join(rng.choice(words) + rng.choice([" ", " ", "\n", ", ", ". "]) for _ in range(rng.randint(2, 4)))
         assert pii.find(s) == pii.find(s, cheap=False), s
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("write x { at } y.com", "email"), ("write x [ AT ] y.com", "email"), ("write x(At)y.com", "email"), ("jo at uni Dot test", "email"), ("jo at uni\ndot\ntest", "email"), ("x&COMMAT;y.com", "email"),
+        ("my NI no QQ992989", "id_number"), ("policy holder 12345678", "id_number"), ("drİver lİcence 51393190", "id_number"), ("ring (020)79460958", "phone"),
+        ("at 12bis rue Morel", "street_address"), ("at 12 bis, rue Morel", "street_address"), ("at 12 ter rue Morel", "street_address"),
+    ],
+)
+def test_mentions_however_spelt(text, kind):
+    assert [k for _, _, k in pii.find(text)] == [kind]
+
+def sample(tree, rng):
+    """A text of the form of a parsed pattern; what stands around it is not looked at."""
+    out = ""
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "IN":
+            kind, x = rng.choice(arg)
+            out += chr(x) if str(kind) == "LITERAL" else chr(rng.randint(*x)) if str(kind) == "RANGE" else {"CATEGORY_DIGIT": "7", "CATEGORY_SPACE": rng.choice(" \n")}.get(str(x), "k")
+        elif op == "BRANCH":
+            out += sample(rng.choice(arg[1]), rng)
+        elif op == "SUBPATTERN":
+            out += sample(arg[3], rng)
+        elif op == "MAX_REPEAT":
+            out += "".join(sample(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 2))))
+    return out
+
+@pytest.mark.parametrize("pattern", [pii.EMAIL, pii.ADDRESS, pii.ID_NUMBER, pii.SSN, pii.PHONE, pii.DATE, pii.NAME])
+def test_cheap_tests_are_implied_by_their_patterns(pattern):
+    rng, hits = random.Random(8), 0
+    tree = re._parser.parse(pattern.pattern, pattern.flags)
+    for _ in range(4000):
+        s = sample(tree, rng)
+        s = rng.choice([s, s.upper(), s.title()]) if pattern.flags & re.IGNORECASE else s
+        hits += pattern.search(s) is not None
+        assert pii.find(s) == pii.find(s, cheap=False), s
+    assert hits > 200
+
 def test_redaction_changes_nothing_else_and_links_equal_values():
     text = "Ask Oona Ferrantello (oona@example.org), SSN 666-10-9004, or OONA FERRANTELLO again; x = 5."
     out = pii.redact_text(text, KEY)
