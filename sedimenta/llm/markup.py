@@ -100,6 +100,10 @@ _FORMULA = re.compile(r"[\\^_{}=<>]|^[A-Za-z]$|^[A-Za-z]\([^()]*\)$|^[A-Za-z0-9
 _MATH_ONLY = re.compile(r"^[^A-Za-z]*(?:[A-Za-z]{1,2}[^A-Za-z]+)*[A-Za-z]{0,2}$")
 
 
+# What ends the content of an element whose content is no text, as the parser sees it.
+_HIDDEN = {t: re.compile(rf"</\s*{t}\s*>", re.IGNORECASE) for t in ("script", "style")}
+
+
 class _Events(HTMLParser):
     """Lines of text with their tags, out of parser events; unknown tags stay text."""
 
@@ -109,6 +113,21 @@ class _Events(HTMLParser):
         self.html = False
         self.links = 0
         self.skip = 0
+        self.at = 0  # where the tag at hand starts
+        self.never_closed: set[str] = set()  # from here on
+
+    def parse_starttag(self, i: int) -> int:
+        self.at = i
+        return super().parse_starttag(i)
+
+    def set_cdata_mode(self, elem: str, **more: bool) -> None:
+        if self.skip or elem not in _HIDDEN:  # else it is not closed and what follows is text
+            super().set_cdata_mode(elem, **more)
+
+    def _closed(self, tag: str) -> bool:
+        if tag not in self.never_closed and not _HIDDEN[tag].search(self.rawdata, self.at):
+            self.never_closed.add(tag)
+        return tag not in self.never_closed
 
     def _text(self, s: str) -> None:
         if self.skip:
@@ -134,12 +153,12 @@ class _Events(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         raw = self.get_starttag_text() or ""
-        if tag not in ELEMENTS or (tag in _SINGLE and not self._paired(tag, raw)):
+        if tag not in ELEMENTS or (tag in _SINGLE and not self._paired(tag, raw)) or (tag in _HIDDEN and not self._closed(tag)):
             self._text(raw)
             return
         self.html = True
         self.lines[-1][1] += 1
-        if tag in ("script", "style"):
+        if tag in _HIDDEN:
             self.skip += 1
         elif len(tag) == 2 and tag[0] == "h" and tag[1].isdigit():
             self._break(_HEAD * int(tag[1]) + " ")
@@ -161,6 +180,10 @@ class _Events(HTMLParser):
         return f"</{tag}>" in at or "=" in raw or (tag == "p" and raw.lower() == "<p>")
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
+        if tag in _HIDDEN:  # it has no content
+            self.html = True
+            self.lines[-1][1] += 1
+            return
         self.handle_starttag(tag, attrs)
         if tag == "a":
             self.links = max(0, self.links - 1)
@@ -171,7 +194,7 @@ class _Events(HTMLParser):
             return
         self.html = True
         self.lines[-1][1] += 1
-        if tag in ("script", "style"):
+        if tag in _HIDDEN:
             self.skip = max(0, self.skip - 1)
         elif tag == "a":
             self.links = max(0, self.links - 1)

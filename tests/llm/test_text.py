@@ -49,6 +49,16 @@ def test_broken_markup_is_plain_text():
         clean, kinds = markup.analyse(s)
         assert isinstance(clean, str) and set(kinds) <= {"html", "markdown", "wiki", "latex"}
 
+@pytest.mark.parametrize("tag", ["<script>", "<style>", "<SCRIPT>", '<script src="x">'])
+def test_unclosed_script_is_plain_text(tag):
+    assert markup.analyse(f"How do I put a {tag} tag in the head?\nIt has <b>no</b> effect &amp; **fails**") == (f"How do I put a {tag} tag in the head?\nIt has no effect & fails", ["html", "markdown"])
+    assert markup.analyse(f"Why is {tag} blocked") == (f"Why is {tag} blocked", [])
+
+def test_closed_script_is_left_out():
+    assert markup.analyse("one <script>if (a < b) { <p> }</script> two <style>\np {}\n</STYLE > three") == ("one  two  three", ["html"])
+    assert markup.analyse("one <script>x</script> two <script> three") == ("one  two <script> three", ["html"])
+    assert markup.analyse('one <script src="x"/> two <script>x</script> three') == ("one  two  three", ["html"])
+
 # --- personal information
 KEY = b"k"
 
