@@ -1,24 +1,28 @@
 """Template residue, filler and error-page text.
 
 A positive-unlabelled naive Bayes over passages (sentences and lines): passages
-that are residue beyond doubt are trusted positives, all others are unlabelled,
-and expectation-maximization finds the residue among them.  A record is a case
-if it has residue passages and, navigation lines and tags aside, nothing else.
+that are residue beyond doubt are trusted positives and serve as seeds of the
+fit, all others are unlabelled, and expectation-maximization finds the residue
+among them.  A record is a case if the evidence of its passages and of what
+stands around them (navigation, length) adds up to residue; rules decide
+nothing once the model is fitted.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterable
+from array import array
+from collections.abc import Callable, Iterable
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Records that the classifier is fitted on at most: trusted ones and others, taken by a hash of their id.
-FIT_TRUSTED, FIT_UNLABELLED = 5_000, 5_000
+FIT_TRUSTED, FIT_UNLABELLED = 5_000, 20_000
 
 # An unfilled slot in the syntax of common template engines.
 _NAME = r"[A-Za-z][\w.\-]*(?:[ _][\w.\-]+){0,3}"
@@ -37,6 +41,7 @@ _SENTENCE = re.compile(r"(?<=[.!?。])\s+")
 _MARKER = re.compile(r"^(?:[*>|\-]+|#+|\d+[.)])\s+")
 _IDENTIFIER = re.compile(r"\b[A-Za-z]\w*_\w+\b|\w+\(\)|\b[a-z]+\.[a-z]+\.[a-z]+\b|[=;{}\[\]<>]{2,}|\S[=<>]\S")
 _WORD = re.compile(r"[^\W\d_]+|\d+")
+_DIGITS = re.compile(r"\d+")
 
 # Words of site navigation; a line of nothing else is a navigation line.
 NAVIGATION = frozenset(
@@ -94,7 +99,7 @@ def passages(text: str | None) -> list[str]:
 
 def is_navigation(passage: str) -> bool:
     ws = _WORD.findall(passage.lower())
-    return 0 < len(ws) <= 14 and all(w in NAVIGATION for w in ws) and not re.search(r"[.!?:]$|[\[\]{}<>%$@#_]", passage)
+    return len(ws) > 0 and all(w in NAVIGATION for w in ws) and not re.search(r"[.!?:]$|[\[\]{}<>%$@#_]", passage)
 
 
 def _mash(words: list[str]) -> bool:
@@ -138,138 +143,198 @@ def trusted(passage: str, marks: set[str] | None = None) -> bool:
     f = features(passage) if marks is None else marks
     if "<quoted>" in f:
         return False
-    return bool(f & {"<slots>", "<repeat>", "<mash>", "<latin>"}) or (len(passage) < 120 and "<code>" not in f and TRUSTED.search(passage) is not None)
+    return bool(f & {"<slots>", "<repeat>", "<mash>", "<latin>"}) or ("<code>" not in f and TRUSTED.search(passage) is not None)
 
 
-def fit(positive: Iterable[str], unlabelled: Iterable[list[str]], *, rounds: int = 4, smooth: float = 0.3, min_count: int = 2) -> dict[str, float]:
-    """Log-odds by feature, from trusted passages and records of unlabelled passages.
+#: Kinds of residue, each a component of its own: template wording, filler, and messages.
+KINDS = ("slots", "filler", "notice")
 
-    The E step judges whole records: residue stands alone, so the bounded
-    log-odds of a record's passages are added, and every passage of it is taken
-    for residue as far as the sum says so.  The M step counts features with
-    those weights.
-    """
-    pos = [features(p) for p in positive]
-    docs = []
-    sure = []
-    for ps in unlabelled:
-        fs = [features(p) for p in ps]
-        docs.append(fs)
-        sure.append([trusted(p, f) for p, f in zip(ps, fs, strict=True)])
-    seen: Counter = Counter(f for fs in pos for f in fs)
-    seen.update(f for d in docs for fs in d for f in fs)
-    vocab = {f for f, n in seen.items() if n >= min_count}
-    pos = [fs & vocab for fs in pos]
-    docs = [[fs & vocab for fs in d] for d in docs]
-    weights = [[float(t) for t in ts] if all(ts) else [0.0] * len(ts) for ts in sure]
-    odds: dict[str, float] = {}
-    first = True  # one round with everything unlabelled taken as real says little about what stands beside residue
-    for _ in range(rounds):
-        p_count, u_count = defaultdict(float), defaultdict(float)
-        np_, nu = float(len(pos)), 0.0
-        for fs in pos:
-            for f in fs:
-                p_count[f] += 1.0
-        for d, ws in zip(docs, weights, strict=True):
-            for fs, w in zip(d, ws, strict=True):
-                np_, nu = np_ + w, nu + 1.0 - w
-                for f in fs:
-                    p_count[f] += w
-                    u_count[f] += 1.0 - w
-        odds = {f: math.log((p_count[f] + smooth) / (np_ + 2 * smooth)) - math.log((u_count[f] + smooth) / (nu + 2 * smooth)) for f in vocab}
-        odds["<prior>"] = math.log((np_ + 1) / (nu + 1))
-        for d, ts, ws in zip(docs, sure, weights, strict=True):
-            raw = [TRUST if t else odds["<prior>"] + sum(odds[f] for f in fs) for fs, t in zip(d, ts, strict=True)]
-            real = not raw or (min(raw) < REAL and not first) or any(fs & CONTENT and not t for fs, t in zip(d, ts, strict=True))
-            ws[:] = [0.0 if real else _sigmoid(sum(x if t else _bounded(x) for x, t in zip(raw, ts, strict=True)))] * len(d)
-        first = False
-    return {f: o for f, o in odds.items() if abs(o) > 0.2 or f == "<prior>"}
+
+def kind_of(marks: set[str]) -> int:
+    return 0 if "<slots>" in marks else 1 if marks & {"<latin>", "<mash>", "<repeat>"} else 2
+
+
+def surroundings(n_navigation: int, content: list[str]) -> tuple[str, str]:
+    """What is known of a record besides its passages: navigation around them, and how long they are (log2 of words)."""
+    n = sum(len(p.split()) for p in content)
+    return ("<nav>" if n_navigation else "<no nav>", f"<words {min(10, (n + 1).bit_length() - 1)}>")
+
+
+def parts(text: str | None) -> tuple[tuple[str, str], list[str]]:
+    """(surroundings, passages that are no navigation) of a record."""
+    ps = passages(text)
+    content = [p for p in ps if not is_navigation(p)]
+    return surroundings(len(ps) - len(content), content), content
 
 
-#: What one passage can say for or against its record at most, what a trusted one says, and below what it is real content whatever stands beside it.
-BOUND, TRUST, REAL = 4.0, 5.0, -8.0
-#: Marks of real content: code, or a quotation of what may be residue.
-CONTENT = frozenset({"<code>", "<quoted>"})
+class Model(NamedTuple):
+    """Log-odds: of a record at large, by its surroundings, and by feature for each kind of residue."""
 
+    prior: float
+    around: dict[str, float]
+    odds: dict[str, tuple[float, float, float]]
 
-def _bounded(x: float) -> float:
-    return max(-BOUND, min(BOUND, x))
 
+#: A corpus without trusted passages has no residue to learn.
+NOTHING = Model(-30.0, {}, {})
+#: Pseudo-count of a feature, bounds of its log-odds, weight of a passage against the root of its features (they overlap, so
+#: evidence grows with the root of the length), and how much residue can speak for a record: a page repeats itself, so that is
+#: bounded, while what speaks for real content adds up.
+SMOOTH, LOW, HIGH, SCALE, CAP = 2.0, -3.0, 6.0, 1.2, 8.0
 
-def _sigmoid(x: float) -> float:
-    return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, x))))
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -30.0, 30.0)))
 
-def score(passage: str, odds: dict[str, float]) -> float:
-    """Log-odds that a passage is residue; words the fit never saw count nothing."""
-    return odds["<prior>"] + sum(odds.get(f, 0.0) for f in features(passage))
 
+def fit(records: Iterable[tuple[str | None, bool]], *, rounds: int = 20, tolerance: float = 0.5, seeds: Callable[[str, set[str]], bool] | None = None) -> Model:
+    """Positive-unlabelled naive Bayes by expectation-maximization.
 
-def judge(text: str | None, odds: dict[str, float]) -> tuple[bool, float]:
-    """(is residue, log-odds) of a record.
+    ``records`` are (text, drawn): records drawn at random tell how frequent
+    residue is, others are there for their trusted passages.  ``seeds`` tells
+    whether a passage with these features is trusted (by default ``trusted``).
 
-    The bounded log-odds of its passages are added, navigation aside.  A single
-    passage of clearly real content decides at once.
+    The unit of counting is the distinct passage, digits aside: a template
+    counts once however often it was stamped out, so that its words do not look
+    like words of real text.  The M step takes each distinct passage for residue
+    by the mean responsibility of the records it stands in (trusted ones always)
+    and counts its features for its kind of residue, and for real text by the
+    rest.  The E step judges every record as ``judge`` does.  In the first round
+    records with trusted beside other passages are left out, so that what stands
+    beside residue is not learned as real text.
     """
-    total, n = 0.0, 0
-    for p in passages(text):
-        if is_navigation(p):
+    seeds = seeds or (lambda p, f: trusted(p, f))
+    number: dict[str, int] = {}  # distinct passage
+    vocabulary: dict[str, int] = {}
+    feature_of, lengths, sure, kind = array("l"), array("l"), array("b"), array("b")
+    record_of, passage_of, sizes, around, drawn = array("l"), array("l"), array("l"), [], array("b")
+    for text, is_drawn in records:
+        where, content = parts(text)
+        if not content:
             continue
-        f = features(p)
-        sure = trusted(p, f)
-        if not sure and f & CONTENT:
-            return False, REAL
-        x = TRUST if sure else odds["<prior>"] + sum(odds.get(k, 0.0) for k in f)
-        if x < REAL:
-            return False, REAL
-        total, n = total + (x if sure else _bounded(x)), n + 1
-    return n > 0 and total > 0, total
-
-
-def all_trusted(text: str | None) -> bool:
-    """Nothing but trusted residue and navigation, and some of the former."""
-    found = False
-    for p in passages(text):
-        if not is_navigation(p):
-            if not trusted(p):
-                return False
-            found = True
-    return found
+        for p in content:
+            key = _DIGITS.sub("#", p.lower())
+            k = number.setdefault(key, len(number))
+            if k == len(lengths):
+                f = features(p)
+                feature_of.extend(vocabulary.setdefault(x, len(vocabulary)) for x in f)
+                lengths.append(len(f))
+                sure.append(seeds(p, f))
+                kind.append(kind_of(f))
+            record_of.append(len(sizes))
+            passage_of.append(k)
+        sizes.append(len(content))
+        around.append(where)
+        drawn.append(is_drawn)
+    sure_ = np.array(sure, dtype=bool)
+    if not sure_.any():
+        return NOTHING
+    feature, length, kinds = np.array(feature_of), np.array(lengths), np.array(kind)
+    rec, pas, is_drawn_ = np.array(record_of), np.array(passage_of), np.array(drawn, dtype=bool)
+    of = np.repeat(np.arange(len(length)), length)  # passage of every feature entry
+    n_rec, n_pas, n_feat = len(sizes), len(length), len(vocabulary)
+    root = np.sqrt(np.maximum(length, 1))
+    marks = sorted({w for ws in around for w in ws})
+    mark = np.array([[marks.index(w) for w in ws] for ws in around])
+    n_sure = np.bincount(rec, weights=sure_[pas], minlength=n_rec)
+    whole, mixed = n_sure == np.array(sizes), (n_sure > 0) & (n_sure < np.array(sizes))
+    z, use = whole.astype(float), ~mixed  # responsibilities; records that count in this round
+    for _ in range(rounds):
+        w = use[rec].astype(float)
+        stands = np.bincount(pas, weights=w, minlength=n_pas)
+        share = np.where(sure_, 1.0, np.bincount(pas, weights=w * z[rec], minlength=n_pas) / np.maximum(stands, 1))
+        live = (stands > 0) | sure_
+        real = np.where(live, 1 - share, 0.0)
+        u, n_u = np.bincount(feature, weights=real[of], minlength=n_feat), real.sum()
+        table = np.zeros((n_feat, len(KINDS)))
+        for c in range(len(KINDS)):
+            mine = np.where(live & (kinds == c), share, 0.0)
+            n_p = max(mine.sum(), 1.0)
+            pi = n_p / (n_p + n_u)
+            p = np.bincount(feature, weights=mine[of], minlength=n_feat)
+            table[:, c] = np.clip(np.log((p + SMOOTH * pi) / pi) - np.log((u + SMOOTH * (1 - pi)) / (1 - pi)), LOW, HIGH)
+        count = use & is_drawn_
+        a, b = z[count].sum(), (1 - z[count]).sum()
+        prior = math.log((a + 1) / (b + 1))
+        with_a = np.bincount(mark[count].ravel(), weights=np.repeat(z[count], 2), minlength=len(marks))
+        with_b = np.bincount(mark[count].ravel(), weights=np.repeat(1 - z[count], 2), minlength=len(marks))
+        at = np.log((with_a + SMOOTH * (a + 1) / (a + b + 2)) / (a + SMOOTH)) - np.log((with_b + SMOOTH * (b + 1) / (a + b + 2)) / (b + SMOOTH))
+        evidence = np.max([np.bincount(of, weights=table[feature, c], minlength=n_pas) for c in range(len(KINDS))], axis=0) / root * SCALE
+        each = evidence[pas]
+        total = prior + at[mark].sum(axis=1) + np.minimum(CAP, np.bincount(rec, weights=np.maximum(each, 0), minlength=n_rec)) + np.bincount(rec, weights=np.minimum(each, 0), minlength=n_rec)
+        new = np.where(whole, 1.0, _sigmoid(total))
+        moved, z, use = np.abs(new - z).sum(), new, np.ones(n_rec, dtype=bool)
+        if moved < tolerance:
+            break
+    kept = (np.abs(table) > 0.6).any(axis=1)  # a word of one real passage says next to nothing
+    return Model(prior, dict(zip(marks, at.tolist(), strict=True)), {f: tuple(table[i].tolist()) for f, i in vocabulary.items() if kept[i]})
+
+
+def evidence(marks: set[str], odds: dict[str, tuple[float, float, float]]) -> float:
+    """Log-odds that a passage is residue of the likeliest kind; features the fit never saw count nothing."""
+    a = b = c = 0.0
+    for f in marks:
+        if (x := odds.get(f)) is not None:
+            a, b, c = a + x[0], b + x[1], c + x[2]
+    return max(a, b, c) / math.sqrt(len(marks) or 1) * SCALE
+
+
+def judge(text: str | None, model: Model) -> tuple[bool, float]:
+    """(is residue, log-odds) of a record: prior, surroundings, and the evidence of all passages.
+
+    A record without passages besides navigation is no residue.
+    """
+    where, content = parts(text)
+    if not content:
+        return False, LOW * CAP
+    total, good = model.prior + sum(model.around.get(w, 0.0) for w in where), 0.0
+    for p in content:
+        x = evidence(features(p), model.odds)
+        if x > 0:
+            good += x
+        else:
+            total += x
+    total += min(CAP, good)
+    return total > 0, total
+
+
+def any_trusted(text: str | None) -> bool:
+    return any(trusted(p) for p in passages(text) if not is_navigation(p))
 
 
 def _marks(texts: pd.Series) -> pd.Series:
-    return pd.Series([all_trusted(t) for t in texts], dtype=bool)
+    return pd.Series([any_trusted(t) for t in texts], dtype=bool)
 
 
-def fit_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> dict[str, float]:
-    """Fit on a bounded sample: at most FIT_TRUSTED trusted and FIT_UNLABELLED other records.
+def fit_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
+    """Fit on a bounded sample: at most FIT_TRUSTED records with trusted passages and FIT_UNLABELLED others.
 
     Records are taken by a hash of their id, so the sample is spread over the
     whole table and the same for the same table.
     """
-    keyed = docs.where(F.col(text).isNotNull()).select(F.xxhash64(doc_id, text).alias("h"), F.col(text).alias("t"))
-    n = keyed.count()
+    n = docs.count()  # from the footers
     if not n:
-        return {"<prior>": 0.0}
-    # a thinned part is looked through for trusted records, a thinner one serves as unlabelled
+        return NOTHING
+    keyed = docs.where(F.col(text).isNotNull()).select(F.xxhash64(doc_id, text).alias("h"), F.col(text).alias("t"))
+    # a thinned part is looked through for trusted passages, a thinner one serves as unlabelled
     part = keyed.where(F.pmod("h", F.lit(1_000_003)) < F.lit(math.ceil(1_000_003 * min(1.0, 20 * FIT_TRUSTED / n))))
-    sure = part.where(F.pandas_udf(_marks, "boolean")("t")).orderBy("h").limit(FIT_TRUSTED).select("t").toPandas()["t"]
-    rest = keyed.where(F.pmod("h", F.lit(999_983)) < F.lit(math.ceil(999_983 * min(1.0, 1.05 * FIT_UNLABELLED / n)))).orderBy("h").limit(FIT_UNLABELLED).select("t").toPandas()["t"]
-    positive = [p for t in sure for p in passages(t) if trusted(p)]
-    return fit(positive, [[p for p in passages(t) if not is_navigation(p)] for t in rest])
+    sure = part.where(F.pandas_udf(_marks, "boolean")("t")).orderBy("h", "t").limit(FIT_TRUSTED).toPandas()
+    rest = keyed.where(F.pmod("h", F.lit(999_983)) < F.lit(math.ceil(999_983 * min(1.0, 1.05 * FIT_UNLABELLED / n)))).orderBy("h", "t").limit(FIT_UNLABELLED).toPandas()
+    drawn = set(rest["h"])
+    return fit([(t, True) for t in rest["t"]] + [(t, False) for h, t in zip(sure["h"], sure["t"], strict=True) if h not in drawn])
 
 
-def residue(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", odds: dict[str, float] | None = None) -> DataFrame:
+def residue(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
     """(doc_id, is_residue, log_odds) of every record.
 
     A null or empty text is no residue (it has no passages).  Whole texts are
     judged.  Repeated records are judged each; other columns are ignored.  The
     fitted model is a bounded table of words, the only thing sent to executors.
     """
-    model = odds or fit_corpus(docs, doc_id, text)
+    fitted = model or fit_corpus(docs, doc_id, text)
 
     def mark(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([judge(t, model) for t in texts], columns=["is_residue", "log_odds"])
+        return pd.DataFrame([judge(t, fitted) for t in texts], columns=["is_residue", "log_odds"])
 
     udf = F.pandas_udf(mark, "is_residue boolean, log_odds double")
     return docs.select(F.col(doc_id).alias("doc_id"), udf(F.col(text)).alias("j")).select("doc_id", "j.*")

@@ -152,16 +152,33 @@ def test_feistel_is_a_permutation_that_can_be_undone():
 RESIDUE = ["Hello {{ name }}, your question {{ link }} has {{ n }} new answers.", "404 Not Found\nThe page you asked for is not here.", "Lorem ipsum dolor sit amet. Magna nulla vitae tempus nibh.", "asdf asdf asdf asdf asdf", "Please enable JavaScript to continue."]
 REAL = ["My template has {{a}} in the header and {{ b }} in the loop, but only the first one is filled when I run it.", 'When I scrape the page all I get is "Please enable JavaScript to continue." instead of the table.', "The job reads all files of the day and writes them to a table, which takes long.", "Which version is this?"]
 
-def test_residue_of_held_out_records():
+def corpus(rng):
+    """Varied real posts, and pages stamped from templates with navigation around some of them."""
+    who, what, why = ["the job", "my query", "this notebook", "our writer", "the reader", "one task"], ["drops", "reads", "sorts", "repeats", "renames", "groups", "casts"], ["null keys", "late rows", "the first column", "old files", "two partitions", "date values", "every index"]
+    posts = [" ".join(f"{rng.choice(who)} {rng.choice(what)} {rng.choice(why)} after {rng.randint(2, 99)} minutes and I do not know how to stop {rng.choice(who)}.".capitalize() for _ in range(rng.randint(1, 6))) for _ in range(1500)]
+    posts += [f"Which version of {rng.choice(why)} is {rng.choice(['this', 'that', 'yours'])}?" if i % 2 else f"Did you try to look at {rng.choice(why)}, and does {rng.choice(who)} run?" for i in range(200)]
+    rng.shuffle(posts)
+    pages = ["This page needs scripts to be turned on in your browser.", "JavaScript is disabled. Activate it and reload the page.", "The connection to the upstream server timed out after 7 seconds.", "Access denied. You do not have permission to view this page.", *RESIDUE]
+    stamped = [rng.choice(["", "Home | Questions | Tags | Users\n"]) + p for p in pages for _ in range(14)]
+    return posts, stamped
+
+def test_residue_of_templates_kept_out_of_the_seeds():
     rng = random.Random(3)
-    pool = RESIDUE * 12 + REAL * 60 + ["Home | Questions | Tags | Users\n" + r for r in RESIDUE] * 5
-    rng.shuffle(pool)
-    sure = [p for t in pool if residue.all_trusted(t) for p in residue.passages(t) if residue.trusted(p)]
-    odds = residue.fit(sure, [[p for p in residue.passages(t) if not residue.is_navigation(p)] for t in pool])
-    assert all(residue.judge(t, odds)[0] for t in RESIDUE) and not any(residue.judge(t, odds)[0] for t in REAL)
-    assert residue.judge("Menu Search Help\nHi ${user}, thank you for visiting ${site}.", odds)[0]
-    assert not residue.judge(RESIDUE[1] + "\n" + REAL[2], odds)[0]
-    assert residue.judge(None, odds) == (False, 0.0) and residue.judge("Home | Tags", odds)[0] is False
+    posts, stamped = corpus(rng)
+    held = re.compile(r"script|upstream|permission", re.IGNORECASE)
+    model = residue.fit([(t, True) for t in posts[:1200] + stamped + REAL], seeds=lambda p, f: residue.trusted(p, f) and not held.search(p))
+    unseeded = [t for t in stamped if held.search(t)]
+    assert len(unseeded) > 50 and sum(residue.judge(t, model)[0] for t in unseeded) >= 0.9 * len(unseeded)
+    assert all(residue.judge(t, model)[0] for t in stamped if not held.search(t))
+    assert not any(residue.judge(t, model)[0] for t in REAL + posts[1200:])
+    # a page beside real content is no case, a trusted passage beside a mild one is
+    assert not any(residue.judge(p + "\n" + t, model)[0] for p in RESIDUE for t in posts[:20])
+    assert residue.judge("Menu Search Help\nHi ${user}, thank you for visiting ${site}.", model)[0]
+    assert residue.judge(None, model)[0] is residue.judge("", model)[0] is residue.judge("Home | Tags", model)[0] is False
+
+def test_without_trusted_passages_nothing_is_residue():
+    model = residue.fit([(t, True) for t in REAL])
+    assert model == residue.NOTHING == residue.fit([]) and not any(residue.judge(t, model)[0] for t in REAL + RESIDUE)
 
 # --- as columns
 def test_columns_over_awkward_rows(spark):
@@ -169,7 +186,7 @@ def test_columns_over_awkward_rows(spark):
     got = df.select("doc_id", markup.analysed(F.col("text")).alias("m"), pii.mention_counts(F.col("text")).alias("p"), pii.redacted(F.col("text"), "k").alias("r")).orderBy("doc_id").collect()
     assert got[0].m.clean is None and got[0].r is None and got[1].r == "" and all(r.m.markup == [] and r.p == [] for r in got)
     assert len(got[3].r) == 300_000
-    judged = residue.residue(df, odds={"<prior>": -1.0})
+    judged = residue.residue(df, model=residue.NOTHING)
     assert [r.is_residue for r in judged.orderBy("doc_id").collect()][:3] == [False] * 3
     assert residue.residue(df.limit(0)).count() == 0
     repeated = pii.mentions(spark.createDataFrame([("h", "a@b.co and c@d.co"), ("h", "a@b.co and c@d.co")], "key string, t string"), ["key"], "t")
