@@ -1,8 +1,8 @@
 """Items that appear together, counted by stripes.
 
-Per item an associative array of its neighbours is built where the records lie
-and merged by key; large arrays travel in segments, so neither a frequent item
-nor its array ever sits in one task.
+Per item an associative array of its neighbours is built where the records lie;
+the arrays travel by (item, segment of neighbours) and are merged key by key on
+arrival, so neither a frequent item nor its whole array ever sits in one task.
 """
 
 from __future__ import annotations
@@ -57,6 +57,35 @@ def _stripes(segments: int):
     return partial
 
 
+def _merged(min_count: int):
+    """Adds up the stripes of each (item_a, segment); rows come sorted by these, so one segment of one item is held at a time."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple | None = None
+        total: Counter = Counter()
+        out: list[tuple[str, str, int]] = []
+
+        def flush() -> pa.RecordBatch:
+            a, b, n = zip(*out, strict=True)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(n, pa.int64())], names=["item_a", "item_b", "n_ab"])
+
+        for batch in batches:
+            for a, segment, stripe in zip(*(batch.column(c).to_pylist() for c in ("item_a", "segment", "stripe")), strict=True):
+                if (a, segment) != at:
+                    out += [(at[0], b, n) for b, n in total.items() if n >= min_count] if at else []
+                    at, total = (a, segment), Counter()
+                    if len(out) > STRIPE_ENTRIES:
+                        yield flush()
+                for b, n in stripe:
+                    total[b] += n
+        out += [(at[0], b, n) for b, n in total.items() if n >= min_count] if at else []
+        if out:
+            yield flush()
+
+    return merge
+
+
 def _g2(k11: Column, a: Column, b: Column, n: Column) -> Column:
     """Log-likelihood ratio of a 2x2 table with marginals a, b and total n."""
 
@@ -85,16 +114,18 @@ def cooccurrence(records: DataFrame, record: str, items: str, *, min_count: int
     n_item = carried.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
     n = rows.agg(F.count_distinct("r")).scalar()
     usable = n_item.where(F.col("n_item") >= min_count).withColumn("n", n).where(F.col("n_item") * min_lift <= F.col("n"))
+    # rows reduced to usable items, so that rare neighbours fill no stripe
+    token = rows.where(F.size("items") > 1).select("r", F.xxhash64("items").alias("v"), F.explode("items").alias("item"))
+    kept = token.join(usable.select("item"), "item", "left_semi").groupBy("r", "v").agg(F.array_sort(F.collect_set("item")).alias("items")).where(F.size("items") > 1)
     # neighbours of an item in one record, over all rows of the record
     near = (
-        rows.where(F.size("items") > 1)
-        .select("r", "items", F.explode(F.slice("items", 1, F.size("items") - 1)).alias("item_a"))
+        kept.select("r", "items", F.explode(F.slice("items", 1, F.size("items") - 1)).alias("item_a"))
         .select("r", "item_a", F.filter("items", lambda x: x > F.col("item_a")).alias("near"))
         .groupBy("r", "item_a").agg(F.array_distinct(F.flatten(F.collect_set("near"))).alias("near"))
     )
-    stripes = near.join(usable.select(F.col("item").alias("item_a")), "item_a", "left_semi").select("item_a", "near").mapInArrow(_stripes(segments), _PARTIAL)
-    # merge by key: the entries of one segment of an item add up in a combining aggregate
-    pairs = stripes.select("item_a", F.explode("stripe").alias("item_b", "k")).groupBy("item_a", "item_b").agg(F.sum("k").alias("n_ab")).where(F.col("n_ab") >= min_count)
+    stripes = near.select("item_a", "near").mapInArrow(_stripes(segments), _PARTIAL)
+    # stripes travel by item and segment and are merged key by key there
+    pairs = stripes.repartition("item_a", "segment").sortWithinPartitions("item_a", "segment").mapInArrow(_merged(min_count), "item_a string, item_b string, n_ab bigint")
     a = usable.select(F.col("item").alias("item_a"), F.col("n_item").alias("n_a"), "n")
     b = usable.select(F.col("item").alias("item_b"), F.col("n_item").alias("n_b"))
     lift = F.col("n_ab") * F.col("n") / (F.col("n_a") * F.col("n_b"))

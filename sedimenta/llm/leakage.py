@@ -4,8 +4,8 @@ An item leaks into a document if ``window`` consecutive words agree.  Every
 window of an item is a set of word shingles that must be contained whole, so by
 the prefix filter one shingle of the window, the rarest in the corpus, is
 enough to find all candidates.  Its position fixes where the window must lie in
-the document (positional bound), the window's length where the document may end
-(length bound), and the words themselves are compared there.
+the document (positional bound), the document's length where it may end (length
+bound), and the words at that place are compared exactly.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from sedimenta.session import cut
 
 SHINGLE = 5
-#: Rows of item windows that may be broadcast (a few MB); more are joined by shuffle.
-BROADCAST_ROWS = 50_000
+#: Distinct item shingles (8 bytes each) that may be broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
+#: Parts that the occurrences of one shingle are spread over where they are joined by shuffle.
+SALTS = 16
 
 
 def words(text: Column) -> Column:
@@ -28,46 +30,61 @@ def words(text: Column) -> Column:
 
 def _shingles(tokens: Column, size: int) -> Column:
     """Positions and hashes of all runs of ``size`` words."""
-    last = F.size(tokens) - size
-    at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(tokens, i + 1, size)).alias("h")))
+
+    def of(w: Column) -> Column:
+        last = F.size(w) - size
+        at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(w, i + 1, size)).alias("h")))
+
+    return F.element_at(F.transform(F.array(tokens), of), 1)  # the words are split once, not once for each position
+
+
+def _at(tokens: Column, starts: Column, size: int) -> Column:
+    """The runs of ``size`` words at given places, as far as the text reaches."""
+    split = F.transform(F.array(tokens), lambda w: F.transform(F.filter(starts, lambda i: i + size <= F.size(w)), lambda i: F.struct(i.alias("start"), F.slice(w, i + 1, size).alias("win"))))
+    return F.element_at(split, 1)  # the words are split once, not once for each place
 
 
 def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, size: int = SHINGLE) -> DataFrame:
     """(doc_id, item_id, matches, first_word): matching windows of each leaked item.
 
     Null ids or texts, and texts of fewer than ``window`` words, are never
-    reported.  Repeated documents are reported each; items that share a passage
-    all are.  Whole texts are read, however long: a document becomes rows of
-    shingles, and only rows that some item knows are kept.  ``items`` are held
-    against all documents in one pass.
+    reported.  Repeated documents are reported once; items that share a passage
+    all are, and so are all texts of a repeated ``item_id``.  Whole texts are
+    read, however long: a document becomes rows of (position, shingle hash)
+    without its words, of which only those that some item knows are kept, and
+    its words are looked at again only where a window may lie.  ``items`` are
+    held against all documents in one pass.
     """
     if size > window:
         raise ValueError("a shingle cannot be longer than the window")
     it = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("w")).where(F.size("w") >= window)
-    start = F.explode(F.sequence(F.lit(0), F.size("w") - window)).alias("start")
-    windows = it.select("item_id", "w", start).select("item_id", "start", F.slice("w", F.col("start") + 1, window).alias("win"))
-    known = windows.select("item_id", "start", "win", F.explode(_shingles(F.col("win"), size)).alias("s")).select("item_id", "start", "win", F.col("s.at").alias("off"), F.col("s.h").alias("h"))
-    known = cut(known)
+    starts = F.sequence(F.lit(0), F.size("w") - window)
+    of_items = cut(it.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, window))).alias("win")).distinct())
+    # every window once, whichever items it is from
+    known = cut(of_items.select("win").distinct().select("win", F.explode(_shingles(F.col("win"), size)).alias("s")).select("win", F.col("s.at").alias("off"), F.col("s.h").alias("h")))
     vocabulary = known.select("h").distinct()
-    few = known.count() <= BROADCAST_ROWS
-    hint = F.broadcast if few else (lambda df: df)
-    # all occurrences of item shingles in the corpus, with the words around them
-    reach = window - size
-    d = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), words(F.col(doc_text)).alias("w")).where(F.size("w") >= window)
+    few = vocabulary.count() <= BROADCAST_ROWS
+    # all occurrences of item shingles in the corpus
+    texts = docs.where(F.col(doc_id).isNotNull() & F.col(doc_text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text"))
+    version = F.xxhash64("text")  # a repeated doc_id may come with another text
     hits = (
-        d.select("doc_id", "w", F.explode(_shingles(F.col("w"), size)).alias("s"))
-        .select("doc_id", "w", F.col("s.at").alias("at"), F.col("s.h").alias("h"))
-        .join(hint(vocabulary), "h", "left_semi")
-        .select("doc_id", "at", "h", F.greatest(F.col("at") - reach, F.lit(0)).alias("base"), "w")
-        .select("doc_id", "at", "h", "base", F.slice("w", F.col("base") + 1, 2 * reach + size).alias("near"))
+        texts.select("doc_id", version.alias("v"), F.explode(_shingles(words(F.col("text")), size)).alias("s"))
+        .select("doc_id", "v", F.col("s.at").alias("at"), F.col("s.h").alias("h"))
+        .join(F.broadcast(vocabulary) if few else vocabulary, "h", "left_semi")
     )
     hits = cut(hits)
     rarity = hits.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    ordered = Window.partitionBy("item_id", "start").orderBy(F.col("df"), "h", "off")
+    ordered = Window.partitionBy("win").orderBy(F.col("df"), "h", "off")
     # a shingle that the corpus lacks rules its window out at once
     ranked = known.join(rarity, "h", "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("rank", F.row_number().over(ordered))
-    prefix = ranked.where("rank = 1 AND df > 0").select("item_id", "win", "off", "h")
-    begins = F.col("at") - F.col("off") - F.col("base")
-    found = hits.join(hint(prefix), "h").where(begins >= 0).where(F.slice("near", begins + 1, window) == F.col("win"))
-    return found.groupBy("doc_id", "item_id").agg(F.count_distinct(F.col("at") - F.col("off")).alias("matches"), F.min(F.col("at") - F.col("off")).alias("first_word"))
+    prefix = ranked.where("rank = 1 AND df > 0").select("h", "off").distinct()
+    if few:
+        found = hits.join(F.broadcast(prefix), "h")  # at most ``size`` rows for each of the few shingles
+    else:
+        salted = prefix.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"])
+    places = found.select("doc_id", "v", (F.col("at") - F.col("off")).alias("start")).where("start >= 0").groupBy("doc_id", "v").agg(F.collect_set("start").alias("starts"))  # at most one per word
+    w = words(F.col("text"))
+    there = texts.withColumn("v", version).join(places, ["doc_id", "v"]).select("doc_id", F.explode(_at(w, F.col("starts"), window)).alias("x")).select("doc_id", "x.*")
+    return there.join(of_items, "win").groupBy("doc_id", "item_id").agg(F.count_distinct("start").alias("matches"), F.min("start").alias("first_word"))

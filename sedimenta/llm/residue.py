@@ -180,7 +180,7 @@ NOTHING = Model(-30.0, {}, {})
 #: Pseudo-count of a feature, bounds of its log-odds, weight of a passage against the root of its features (they overlap, so
 #: evidence grows with the root of the length), and how much residue can speak for a record: a page repeats itself, so that is
 #: bounded, while what speaks for real content adds up.
-SMOOTH, LOW, HIGH, SCALE, CAP = 2.0, -3.0, 6.0, 1.2, 8.0
+SMOOTH, LOW, HIGH, SCALE, CAP = 2.0, -3.0, 4.0, 1.2, 8.0
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

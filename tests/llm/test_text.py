@@ -155,8 +155,8 @@ REAL = ["My template has {{a}} in the header and {{ b }} in the loop, but only t
 def corpus(rng):
     """Varied real posts, and pages stamped from templates with navigation around some of them."""
     who, what, why = ["the job", "my query", "this notebook", "our writer", "the reader", "one task"], ["drops", "reads", "sorts", "repeats", "renames", "groups", "casts"], ["null keys", "late rows", "the first column", "old files", "two partitions", "date values", "every index"]
-    posts = [" ".join(f"{rng.choice(who)} {rng.choice(what)} {rng.choice(why)} after {rng.randint(2, 99)} minutes and I do not know how to stop {rng.choice(who)}.".capitalize() for _ in range(rng.randint(1, 6))) for _ in range(1500)]
-    posts += [f"Which version of {rng.choice(why)} is {rng.choice(['this', 'that', 'yours'])}?" if i % 2 else f"Did you try to look at {rng.choice(why)}, and does {rng.choice(who)} run?" for i in range(200)]
+    posts = [" ".join(f"{rng.choice(who)} {rng.choice(what)} {rng.choice(why)} after {rng.randint(2, 99)} minutes, this is on your page, and I do not know how to stop {rng.choice(who)}.".capitalize() for _ in range(rng.randint(1, 6))) for _ in range(1500)]
+    posts += [f"Which version of {rng.choice(why)} is {rng.choice(['this', 'that', 'yours'])}?" if i % 2 else f"Did you try to look at {rng.choice(why)}, and does {rng.choice(who)} run? It is what this is for." for i in range(200)]
     rng.shuffle(posts)
     pages = ["This page needs scripts to be turned on in your browser.", "JavaScript is disabled. Activate it and reload the page.", "The connection to the upstream server timed out after 7 seconds.", "Access denied. You do not have permission to view this page.", *RESIDUE]
     stamped = [rng.choice(["", "Home | Questions | Tags | Users\n"]) + p for p in pages for _ in range(14)]
