@@ -66,10 +66,10 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", doc_text
     vocabulary = known.select("h").distinct()
     few = vocabulary.count() <= BROADCAST_ROWS
     # all occurrences of item shingles in the corpus
-    texts = docs.where(F.col(doc_id).isNotNull() & F.col(doc_text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text"))
-    version = F.xxhash64("text")  # a repeated doc_id may come with another text
+    # a repeated doc_id may come with another text; its hash is taken before the explosion, so that no text rides along
+    texts = docs.where(F.col(doc_id).isNotNull() & F.col(doc_text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_text).alias("v"), F.col(doc_text).alias("text"))
     hits = (
-        texts.select("doc_id", version.alias("v"), F.explode(_shingles(words(F.col("text")), size)).alias("s"))
+        texts.select("doc_id", "v", F.explode(_shingles(words(F.col("text")), size)).alias("s"))
         .select("doc_id", "v", F.col("s.at").alias("at"), F.col("s.h").alias("h"))
         .join(F.broadcast(vocabulary) if few else vocabulary, "h", "left_semi")
     )
@@ -86,5 +86,5 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", doc_text
         found = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"])
     places = found.select("doc_id", "v", (F.col("at") - F.col("off")).alias("start")).where("start >= 0").groupBy("doc_id", "v").agg(F.collect_set("start").alias("starts"))  # at most one per word
     w = words(F.col("text"))
-    there = texts.withColumn("v", version).join(places, ["doc_id", "v"]).select("doc_id", F.explode(_at(w, F.col("starts"), window)).alias("x")).select("doc_id", "x.*")
+    there = texts.join(places, ["doc_id", "v"]).select("doc_id", F.explode(_at(w, F.col("starts"), window)).alias("x")).select("doc_id", "x.*")
     return there.join(of_items, "win").groupBy("doc_id", "item_id").agg(F.count_distinct("start").alias("matches"), F.min("start").alias("first_word"))
