@@ -16,6 +16,7 @@ from collections import defaultdict
 from collections.abc import Mapping
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,9 +24,9 @@ from pyspark.sql import functions as F
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern of the byte-level vocabularies of 50k entries.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Cells (source, language, topic) that the driver rakes at most; rarer languages and topics are folded into one.
-CELLS, KEEP = 100_000, 200
 REST = "(other)"
+#: Rows of one cell that a sampling bucket holds about; a larger cell is cut into more buckets.
+BUCKET_ROWS = 50_000
 
 
 @lru_cache(maxsize=4)
@@ -50,48 +51,59 @@ def token_count(text: Column, tokenizer: str = TOKENIZER) -> Column:
 def rake(cells: Mapping[tuple, float], margins: list[Mapping], caps: Mapping[tuple, float], *, rounds: int = 200, tolerance: float = 1e-6) -> dict[tuple, float]:
     """Weight per cell so that weight x tokens meets every margin, as far as the caps allow.
 
-    ``margins[i]`` maps values of the i-th coordinate to their token totals; an
-    empty mapping leaves the coordinate free.  Margins are applied in reverse
-    order, so the first one (the source) is met exactly wherever caps allow.
+    ``margins[i]`` maps values of the i-th coordinate to their token totals;
+    values it lacks are free.  Margins are applied in reverse order, so the
+    first one (the source) is met exactly wherever caps allow.  A capped cell
+    keeps its cap and the others of its margin make up for it.
     """
-    weight = dict.fromkeys(cells, 1.0)
+    keys = list(cells)
+    size, cap = np.array([cells[k] for k in keys]), np.array([caps[k] for k in keys])
+    weight = np.ones(len(keys))
+    sides = []
+    for i in reversed(range(len(margins))):
+        values = {v: n for n, v in enumerate(margins[i])}
+        at = np.array([values.get(k[i], -1) for k in keys], dtype=int)
+        if (at >= 0).any():
+            sides.append((at, np.array(list(margins[i].values()), dtype=float)))
     for _ in range(rounds):
         worst = 0.0
-        for i in reversed(range(len(margins))):
-            if not margins[i]:
-                continue
-            # a capped cell keeps its cap; the others of its margin make up for it
-            groups: dict = defaultdict(list)
-            for c in cells:
-                if c[i] in margins[i]:
-                    groups[c[i]].append(c)
-            for value, members in groups.items():
-                want = margins[i][value]
-                free = list(members)
-                for _ in range(len(members)):
-                    held = sum(caps[c] * cells[c] for c in members if c not in free)
-                    have = sum(weight[c] * cells[c] for c in free)
-                    if have <= 0:
-                        break
-                    factor = max(0.0, want - held) / have
-                    worst = max(worst, abs(factor - 1.0))
-                    over = [c for c in free if weight[c] * factor > caps[c] * (1 + 1e-12)]
-                    if not over:
-                        for c in free:
-                            weight[c] *= factor
-                        break
-                    for c in over:
-                        weight[c] = caps[c]
-                    free = [c for c in free if c not in over]
+        for at, want in sides:
+            bound = at >= 0
+            held = np.zeros(len(keys), dtype=bool)
+            while True:
+                free = bound & ~held
+                have = np.bincount(at[free], weights=(weight * size)[free], minlength=len(want))
+                fixed = np.bincount(at[held], weights=(cap * size)[held], minlength=len(want))
+                factor = np.where(have > 0, np.maximum(0.0, want - fixed) / np.where(have > 0, have, 1.0), 1.0)
+                scaled = weight * factor[at]
+                over = free & (scaled > cap * (1 + 1e-12))
+                worst = max(worst, float(np.abs(factor[at[free]] - 1).max(initial=0.0)))
+                if not over.any():
+                    break
+                weight[over] = cap[over]
+                held |= over
+            weight[free] = scaled[free]
         if worst < tolerance:
             break
-    return weight
+    return dict(zip(keys, weight.tolist(), strict=True))
 
 
-def _fold(docs: DataFrame, column: str) -> Column:
-    """Keep the KEEP heaviest values of a free column (whole corpus counted), fold the rest."""
-    top = [r[0] for r in docs.groupBy(column).agg(F.sum("tokens").alias("t")).orderBy(F.desc("t"), column).limit(KEEP).collect()]
-    return F.when(F.col(column).isin(top), F.col(column)).otherwise(F.lit(REST))
+def shares_of(docs: DataFrame, column: str, tokens: str = "tokens") -> dict[str, float]:
+    """Token shares of the values of a column over the whole corpus, as a margin to keep; nulls are "(none)".
+
+    For columns of settings such as languages, of which there are few.
+    """
+    rows = docs.where(F.col(tokens) > 0).groupBy(F.coalesce(F.col(column), F.lit("(none)")).alias("v")).agg(F.sum(tokens).alias("t")).collect()
+    whole = sum(r["t"] for r in rows)
+    return {r["v"]: r["t"] / whole for r in rows}
+
+
+def _coordinate(column: str | None, share: Mapping[str, float] | None) -> Column:
+    """A value with a share of its own, or one name for all others: without a share of their own they all get one factor, so this folding is exact."""
+    if not column or not share:
+        return F.lit(REST)
+    value = F.coalesce(F.col(column), F.lit("(none)"))
+    return F.when(value.isin(list(share)), value).otherwise(F.lit(REST))
 
 
 def mixture(
@@ -107,47 +119,42 @@ def mixture(
     language_share: Mapping[str, float] | None = None,
     topic_share: Mapping[str, float] | None = None,
     seed: int = 0,
-    buckets: int = 16,
 ) -> DataFrame:
     """(doc_id, source, tokens, copies): the documents of the mixture.
 
     ``docs`` has token counts; ``targets`` holds source, target_share,
     max_repeats (one row per source; a table of settings).  ``total`` is the
     size in tokens; by default the largest at which every source that has
-    documents can reach its share, shares taken among those sources.  Shares of
-    languages and topics are raked to the values given, else to what the source
-    targets imply for the corpus as it is.
+    documents can reach its share, shares taken among those sources.  Languages
+    and topics with a share in ``language_share`` and ``topic_share`` are raked
+    to it (relative to the whole, if the shares add up to less than one; "(none)"
+    stands for null); all others are free.
 
     Documents of sources without target (or without source), with null id or
     without tokens are not taken; a target without documents is missing in the
-    result and shows in ``reached_shares``.  Null languages and topics are a
-    value of their own.  A repeated row of a document is another document.
-
-    Only totals per cell go to the driver, at most CELLS of them.  Systematic
-    sampling runs in ``buckets`` per cell and class of size with prefix sums of bucket totals, so
-    a source that holds a third of all rows is spread over them.
+    result and shows in ``reached_shares``.  A repeated row of a document is
+    another document.
+
+    What goes to the driver is one row per source and language and topic with a
+    share: as many as the settings have, whatever the corpus holds.  Systematic
+    sampling runs in buckets of one cell and class of size, as many as its rows
+    need, with prefix sums of bucket totals, so a source that holds a third of
+    all rows is spread over them.
     """
     wanted = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in targets.select("source", "target_share", "max_repeats").where("source IS NOT NULL AND target_share > 0 AND max_repeats > 0").distinct().collect()}
-    lang = F.coalesce(F.col(language), F.lit("(none)")) if language else F.lit("")
-    subject = F.coalesce(F.col(topic), F.lit("(none)")) if topic else F.lit("")
     base = docs.where(F.col(source).isin(list(wanted)) & F.col(doc_id).isNotNull() & (F.col(tokens) > 0)).select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), lang.alias("language"), subject.alias("topic"), F.col(tokens).alias("tokens"), F.xxhash64(doc_id, F.lit(seed)).alias("h")
-    )
-    if language:
-        base = base.withColumn("language", _fold(base, "language"))
-    if topic:
-        base = base.withColumn("topic", _fold(base, "topic"))
-    rows = base.groupBy("source", "language", "topic").agg(F.sum("tokens").alias("t")).limit(CELLS + 1).collect()
-    if len(rows) > CELLS:
-        raise ValueError(f"more than {CELLS} cells of source, language and topic")
+        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), _coordinate(language, language_share).alias("language"), _coordinate(topic, topic_share).alias("topic"),
+        F.col(tokens).alias("tokens"), F.xxhash64(doc_id, F.lit(seed)).alias("h"),
+    )
+    cell = ["source", "language", "topic"]
+    rows = base.groupBy(*cell).agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()
     cells = {(r["source"], r["language"], r["topic"]): float(r["t"]) for r in rows}
     weights = cell_weights(cells, wanted, total, language_share, topic_share)
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(*c, w) for c, w in weights.items()] or [("", "", "", 0.0)], "source string, language string, topic string, weight double")
-    cell = ["source", "language", "topic"]
-    part = base.join(F.broadcast(table), cell).where("weight > 0")  # at most CELLS rows
+    spread = {(r["source"], r["language"], r["topic"]): math.ceil(r["n"] / BUCKET_ROWS) for r in rows}
+    table = docs.sparkSession.createDataFrame([(*c, w, spread[c]) for c, w in weights.items()] or [("", "", "", 0.0, 1)], "source string, language string, topic string, weight double, buckets int")
+    part = base.join(F.broadcast(table), cell).where("weight > 0")  # as many rows as the settings have cells
     # buckets in order of size, so that what is taken has the sizes of the cell; a class of size is spread over several
-    part = part.withColumn("bucket", F.floor(F.log2("tokens") * 4) * buckets + F.pmod("h", F.lit(buckets)))
+    part = part.withColumn("bucket", F.floor(F.log2("tokens") * 4) * F.col("buckets") + F.pmod("h", F.col("buckets")))
     # expected copies so far, in order of size; a document is taken as often as whole numbers are passed
     per_bucket = part.groupBy(*cell, "bucket").agg(F.sum("weight").alias("w"))
     before = Window.partitionBy(*cell).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -172,17 +179,14 @@ def cell_weights(cells: Mapping[tuple, float], wanted: Mapping[str, tuple[float,
     total = most if total is None else total
     by_source = {s: min(share[s] * total, wanted[s][1] * size[s]) for s in size}
 
-    def implied(i: int, given: Mapping | None) -> dict:
-        if given:
-            norm = sum(given.values())
-            return {v: x / norm * sum(by_source.values()) for v, x in given.items()}
-        out: dict = defaultdict(float)
-        for c, t in cells.items():
-            out[c[i]] += by_source[c[0]] * t / size[c[0]]
-        return dict(out)
+    whole = sum(by_source.values())
+
+    def margin(given: Mapping | None) -> dict:
+        norm = max(1.0, sum((given or {}).values()))
+        return {v: x / norm * whole for v, x in (given or {}).items()}
 
     caps = {c: float(wanted[c[0]][1]) for c in cells}
-    return rake(cells, [by_source, implied(1, language_share), implied(2, topic_share)], caps)
+    return rake(cells, [by_source, margin(language_share), margin(topic_share)], caps)
 
 
 def reached_shares(taken: DataFrame, targets: DataFrame) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from sedimenta.llm.cooccurrence import cooccurrence
 from sedimenta.llm.leakage import leaks
 from sedimenta.llm.markup import analysed
-from sedimenta.llm.mixture import mixture, reached_shares, token_count
+from sedimenta.llm.mixture import mixture, reached_shares, shares_of, token_count
 from sedimenta.llm.pii import mentions, redacted
-from sedimenta.llm.quantiles import merge, percentiles, sketch
+from sedimenta.llm.quantiles import merge, percentiles, rank_error, sketch
 from sedimenta.llm.residue import residue
 from sedimenta.session import cut, scan
 
@@ -75,6 +75,18 @@ def p7_merged_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles(merge(months, ["year"]), ["year"], RANKS)
 
 
+def p7_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per month whether the exact ranks of the percentiles lie within the stated error."""
+    hours = _hours(spark, sf_dir).select("month", "hours")
+    got = percentiles(sketch(hours, ["month"], "hours"), ["month"], RANKS).where("n_values > 0").withColumnRenamed("month", "m")
+    # one pass over the values: how many lie at or below, and below, each percentile of their month
+    at = [F.count(F.when(F.col("hours") <= F.col(n), 1)).alias(f"le_{n}") for n in RANKS] + [F.count(F.when(F.col("hours") < F.col(n), 1)).alias(f"lt_{n}") for n in RANKS]
+    ranks = hours.where("hours IS NOT NULL").join(got, F.equal_null("month", "m")).select("month", "hours", *RANKS).groupBy("month").agg(F.count(F.lit(1)).alias("n"), *at)
+    slack = rank_error() + 1 / F.col("n")  # the step from one value to the next
+    good = [(F.col(f"lt_{n}") / F.col("n") <= q + slack) & (F.col(f"le_{n}") / F.col("n") >= q - slack) for n, q in RANKS.items()]
+    return ranks.select("month", "n", *[g.alias(f"{n}_within") for n, g in zip(RANKS, good, strict=True)])
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(scan(spark, sf_dir, "documents"), scan(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -85,7 +97,9 @@ def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture(_sized(spark, sf_dir), scan(spark, sf_dir, "mix_targets"), topic="post_type")
+    """Sources by their targets, while languages and kinds of post keep the shares they have in the corpus."""
+    docs = _sized(spark, sf_dir)
+    return mixture(docs, scan(spark, sf_dir, "mix_targets"), topic="post_type", language_share=shares_of(docs, "lang"), topic_share=shares_of(docs, "post_type"))
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +107,14 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reached_shares(p9_mixture(spark, sf_dir), scan(spark, sf_dir, "mix_targets"))
 
 
+def p9_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each source with documents has its share within two in a hundred, and no document is taken too often."""
+    targets = scan(spark, sf_dir, "mix_targets")
+    reached = reached_shares(p9_mixture(spark, sf_dir), targets).where("documents > 0").join(targets.select("source", "max_repeats"), "source")
+    among = reached.agg(F.sum("target_share")).scalar()
+    return reached.select("source", (F.abs(F.col("share") - F.col("target_share") / among) < 0.02).alias("share_met"), (F.col("max_copies") <= F.col("max_repeats")).alias("repeats_met"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue(scan(spark, sf_dir, "documents")).where("is_residue").select("doc_id")
 
@@ -120,7 +142,12 @@ _LLR = "2 * (" + " + ".join(_H.format(f"({c})") for c in ("n_ab", "n_a - n_ab",
 
 _P8_WORDS = r"regexp_extract_all(lower(regexp_replace(text, '</?[A-Za-z][^<>]*>', ' ', 'g')), '[\p{L}\p{Nd}]+')"
 
+_HOURS = """SELECT DISTINCT question_id, created_date_key, owner_user_key, hours_to_first_answer FROM fact_question"""
+
 ORACLES = {
+    "p7_check": f"""SELECT CAST(floor(created_date_key / 100) AS INTEGER) AS month, count(*) AS n, {", ".join(f"true AS {n}_within" for n in RANKS)}
+  FROM ({_HOURS}) WHERE hours_to_first_answer > 0 GROUP BY 1""",
+    "p9_check": "SELECT source, true AS share_met, true AS repeats_met FROM mix_targets WHERE target_share > 0 AND max_repeats > 0 AND source IN (SELECT source FROM documents WHERE length(text) > 0)",
     "p4_found": _P4 + "SELECT tag_a, tag_b FROM full_ WHERE n_ab >= 5 AND lift >= 2.3",
     "p4_pairs": _P4 + f"SELECT tag_a, tag_b, n_a, n_b, n_ab, n, round(lift, 9) AS lift, round(greatest(0, {_LLR}), 6) AS llr FROM full_",
     "p8_found": f"""
@@ -133,6 +160,6 @@ SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (win)""",
 
 QUERIES = {
     "p4_found": p4_found, "p4_pairs": p4_pairs,
-    "p7_percentiles": p7_percentiles, "p7_merged_percentiles": p7_merged_percentiles,
-    "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_clean": p10_clean,
+    "p7_percentiles": p7_percentiles, "p7_merged_percentiles": p7_merged_percentiles, "p7_check": p7_check,
+    "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_check": p9_check, "p10_found": p10_found, "p10_clean": p10_clean,
 }

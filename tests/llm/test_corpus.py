@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.llm import quantiles
 from sedimenta.llm.cooccurrence import cooccurrence
+from sedimenta.llm import leakage
 from sedimenta.llm.leakage import leaks
 from sedimenta.llm.mixture import cell_weights, mixture, rake, reached_shares, token_count
 
@@ -99,6 +100,17 @@ def test_leaks_equal_all_windows(spark):
     got = sorted({(r.doc_id, r.item_id) for r in leaks(df, it).collect()})
     assert got == sorted(set(brute_leaks(docs, items))) and got
     assert leaks(df.limit(0), it).count() == 0 and leaks(df, it.limit(0)).count() == 0
+    with pytest.MonkeyPatch.context() as m:  # the way for many items
+        m.setattr(leakage, "BROADCAST_ROWS", 0)
+        assert sorted({(r.doc_id, r.item_id) for r in leaks(df, it).collect()}) == got
+
+
+def test_both_texts_of_a_repeated_item_and_document_count(spark):
+    one, two = " ".join(f"a{i}" for i in range(12)), " ".join(f"b{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"x y {one}"), (2, f"{two} z"), (3, "x " * 30), (3, two)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, one), (7, two), (8, two)], "item_id bigint, text string")
+    got = sorted((r.doc_id, r.item_id, r.matches, r.first_word) for r in leaks(docs, items).collect())
+    assert got == [(1, 7, 3, 2), (2, 7, 3, 0), (2, 8, 3, 0), (3, 7, 3, 0), (3, 8, 3, 0)]
 
 
 def test_raking_meets_margins_and_caps():
@@ -114,6 +126,31 @@ def test_raking_meets_margins_and_caps():
     assert cell_weights({}, {"a": (1.0, 1)}, None) == {}
 
 
+def test_raking_of_many_cells_is_fast():
+    import time
+
+    rng = random.Random(4)
+    cells = {(f"s{i}", f"l{j}", f"t{k}"): rng.uniform(1, 100) for i in range(20) for j in range(500) for k in range(10)}
+    whole = sum(cells.values())
+    margins = [{f"s{i}": whole / 20 for i in range(20)}, {f"l{j}": whole / 500 for j in range(500)}, {f"t{k}": whole / 10 for k in range(10)}]
+    began = time.perf_counter()
+    w = rake(cells, margins, dict.fromkeys(cells, 3.0))
+    assert time.perf_counter() - began < 30
+    for i, m in enumerate(margins):
+        got = Counter()
+        for c, t in cells.items():
+            got[c[i]] += w[c] * t
+        assert all(abs(got[v] - x) < 1e-3 * x for v, x in m.items())
+
+
+def test_a_rare_language_gets_its_share(spark):
+    docs = spark.createDataFrame([(i, "a" if i % 2 else "b", f"l{i % 500}", 10) for i in range(20_000)], "doc_id bigint, source string, lang string, tokens bigint")
+    targets = spark.createDataFrame([("a", 0.5, 4), ("b", 0.5, 4)], "source string, target_share double, max_repeats int")
+    taken = mixture(docs, targets, total=100_000.0, language_share={"l499": 0.004, "l3": 0.001}).join(docs.select("doc_id", "lang"), "doc_id")
+    got = {r.lang: r.t for r in taken.groupBy("lang").agg(F.sum(F.col("tokens") * F.col("copies")).alias("t")).collect()}
+    assert abs(got["l499"] - 400) <= 20 and abs(got.get("l3", 0) - 100) <= 20 and len(got) == 500
+
+
 def test_mixture_reaches_its_shares(spark):
     rng = random.Random(9)
     rows = [(i, rng.choice(["big"] * 8 + ["mid", "mid", "small", None, "other"]), rng.choice(["en", "es", None]), rng.randint(1, 400)) for i in range(4000)]
