@@ -32,8 +32,8 @@ def _clean(spark: SparkSession, d: str, with_answers: bool = True) -> tuple[Data
     """Live questions, answers and tags; the first two feed several branches and are computed once."""
     rq, ra, rd = _raw(spark, d, "questions", "answers", "deleted_questions")
     tombs = silver.tombstones(rd)
-    q, _ = split_by_rules(silver.questions(rq, SALT, TRACKED), silver.question_rules())
-    a, _ = split_by_rules(silver.answers(ra, SALT), silver.answer_rules())
+    q, _ = split_by_rules(silver.questions(rq, SALT, TRACKED), silver.rules("questions"))
+    a, _ = split_by_rules(silver.answers(ra, SALT), silver.rules("answers"))
     q = cut(soft_deleted(q, tombs).where("created_at IS NOT NULL AND NOT is_deleted").select(*_ASKED))
     q, a, tags = gold.alive(q, soft_deleted(a, tombs), silver.question_tags(rq, TRACKED))
     return q, cut(a.select(*_REPLIED)) if with_answers else a, tags
@@ -75,8 +75,8 @@ def silver_post_text(spark: SparkSession, d: str) -> DataFrame:
 
 def dq_counts(spark: SparkSession, d: str) -> DataFrame:
     rq, ra = _raw(spark, d, "questions", "answers")
-    q = judged(silver.questions(rq, SALT, TRACKED), silver.question_rules()).select(F.lit("questions").alias("entity"), "_failed_rule")
-    a = judged(silver.answers(ra, SALT), silver.answer_rules()).select(F.lit("answers").alias("entity"), "_failed_rule")
+    q = judged(silver.questions(rq, SALT, TRACKED), silver.rules("questions")).select(F.lit("questions").alias("entity"), "_failed_rule")
+    a = judged(silver.answers(ra, SALT), silver.rules("answers")).select(F.lit("answers").alias("entity"), "_failed_rule")
     return q.unionByName(a).groupBy("entity", F.coalesce("_failed_rule", F.lit("")).alias("failed_rule")).agg(F.count(F.lit(1)).alias("n"))
 
 

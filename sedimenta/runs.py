@@ -175,11 +175,9 @@ class Lakehouse:
         table.replace_parts(out.good, [b.batch_id], new_columns=out.new_columns)
         if out.rows_rejected or f"{entity}~{b.batch_id}" in self.quarantine.version().parts:
             self.quarantine.replace_parts(out.rejected, [f"{entity}~{b.batch_id}"])
-        if out.drift:
-            rows = [(self.run_id, b.batch_id, entity, kind, path, n, example, action, record.started) for kind, path, n, example, action in out.drift]
-            events = self.spark.createDataFrame(rows, ", ".join(f"{k} {v}" for k, v in DRIFT.items() if k != "event_id"))
-            events = events.withColumn("event_id", F.sha2(F.concat_ws("|", "_batch_id", "entity", "drift_type", "column_path"), 256)).select(*DRIFT)
-            self.drift.merge(events, m.upsert_always(list(DRIFT), ["event_id"]))
+        stamped = out.drift.withColumns({"run_id": F.lit(self.run_id), "_batch_id": F.lit(b.batch_id), "entity": F.lit(entity), "load_timestamp": F.lit(record.started).cast("timestamp")})
+        events = stamped.withColumn("event_id", F.sha2(F.concat_ws("|", "_batch_id", "entity", "drift_type", "column_path"), 256)).select(*DRIFT)
+        self.drift.merge(events, m.upsert_always(list(DRIFT), ["event_id"]))
         record.rows_read, record.inserted, record.quarantined = out.rows_read, out.rows_good, out.rows_rejected
 
     # --- bronze to silver
@@ -217,7 +215,7 @@ class Lakehouse:
     def _questions(self, ids: Sequence[str], r: Step) -> None:
         raw = self._raw("questions", ids)
         r.rows_read = raw.count()
-        df = self._stamped(cut(self._clean(silver.questions(raw, self.salt, self.tracked), silver.question_rules(), "questions", "question_id", r)), r.started)
+        df = self._stamped(cut(self._clean(silver.questions(raw, self.salt, self.tracked), silver.rules("questions"), "questions", "question_id", r)), r.started)
         guarded = ["score", "view_count", "answer_count", "is_answered_api", "has_any_answer"]
         spec = m.newer_with_guard(df.columns, ["question_id"], "source_extracted_at", "record_hash", guarded=guarded, as_of="metrics_as_of", deleted="is_deleted", deleted_at="deleted_detected_at", keep=["first_loaded_at"])
         r.take(self.silver_table("questions", ["question_id"], df).merge(df, spec))
@@ -236,7 +234,7 @@ class Lakehouse:
     def _answers(self, ids: Sequence[str], r: Step) -> None:
         raw = self._raw("answers", ids)
         r.rows_read = raw.count()
-        df = self._stamped(cut(self._clean(silver.answers(raw, self.salt), silver.answer_rules(), "answers", "answer_id", r)), r.started)
+        df = self._stamped(cut(self._clean(silver.answers(raw, self.salt), silver.rules("answers"), "answers", "answer_id", r)), r.started)
         spec = m.newer_and_different(df.columns, ["answer_id"], "source_extracted_at", "record_hash", ["first_loaded_at", "is_deleted", "deleted_detected_at"])
         r.take(self.silver_table("answers", ["answer_id"], df).merge(df, spec))
 

@@ -1,10 +1,13 @@
 """The layers end to end over small landed batches."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from sedimenta import ingest
+from sedimenta.contracts import CONTRACTS
 from sedimenta.functions.columns import fingerprint_part
 from sedimenta.runs import Lakehouse
 from sedimenta.sources.landing import chosen, discover, write_batch
@@ -125,3 +128,28 @@ def test_audit_and_guards(house):
             run("sideways")
     with pytest.raises(RuntimeError):
         house.raw_to_bronze(batch_ids=["nope"])
+
+
+def test_nothing_unexpected_is_cut_or_mixed_up():
+    wanted = ingest.requirements(CONTRACTS["questions"].tree)
+    long = "y" * 10_000
+    record = question(9) | {"owner.x": 1, "note": long, "tags": ["a", 3, None]} | {"owner": owner(9) | {"x": {"deep": [1, 2]}, "user_id": "nine"}}
+    is_object, outside, wrong = ingest.inspected(json.dumps(record), wanted)
+    assert is_object and {u["path"]: json.loads(u["value"]) for u in outside} == {'["owner.x"]': 1, "note": long, "owner.x": {"deep": [1, 2]}}
+    assert [(w["path"], w["expected"], w["found"]) for w in wrong] == [("owner.user_id", "bigint", '"nine"')]
+    assert ingest.inspected("[1]", wanted) == ingest.inspected("{", wanted) == (False, [], [])
+    assert ingest.inspected('{"question_id": 1.5, "tags": "a", "owner": 3, "is_answered": 1, "score": 3000000000}', wanted)[2] == [
+        {"path": p, "expected": e, "found": f} for p, e, f in (("question_id", "bigint", "1.5"), ("tags", "array<string>", '"a"'), ("owner", "struct", "3"), ("is_answered", "boolean", "1"), ("score", "int", "3000000000"))
+    ]
+
+
+def test_columns_evolve_up_to_a_bound_and_the_rest_is_rescued(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "EVOLVED_COLUMNS", 3)
+    rows = [question(i, **{f"new_{k}": k for k in range(i + 1)}) for i in range(1, 6)]
+    write_batch(f"{tmp_path}/full/b", "full", dt.datetime(2026, 1, 1), {"questions": rows})
+    batch = discover(spark, str(tmp_path))[0]
+    out = ingest.load_file(spark, batch, CONTRACTS["questions"], f"{batch.path}/questions.jsonl", {}, now=dt.datetime(2026, 1, 1))
+    assert sorted(out.new_columns) == ["new_0", "new_1", "new_2"]
+    got = {r.question_id: r for r in out.good.collect()}
+    assert json.loads(got[5]._rescued_data) == {"new_3": "3", "new_4": "4", "new_5": "5"} and got[5].new_2 == "2" and got[1]._rescued_data is None
+    assert {r.column_path: (r.record_count, r.action_taken) for r in out.drift.collect()} == {f"new_{k}": (min(5, 6 - k), "evolved" if k < 3 else "rescued") for k in range(6)}
