@@ -84,15 +84,19 @@ WIKI = re.compile(
     r"|(?P<tag><(?:ref|references|gallery|math|includeonly|noinclude|onlyinclude|poem)\b[^<>]*/?>|</(?:ref|gallery|math|includeonly|noinclude|poem)>|^(?:__(?:NOTOC|TOC|FORCETOC|NOEDITSECTION)__)|\[\[(?:Category|Kategorie|Catégorie|Categoría):[^\[\]\n]*\]\])",
     re.MULTILINE,
 )
+# The same beside a table, with its rows.
+WIKI_TABLE = re.compile(r"(?P<row>^[ \t]*[|!](?![}\-+|])(?P<rx>[^\n]*)$)|" + WIKI.pattern, re.MULTILINE)
 _DOLLAR = r"(?<![\w\\$])\$(?=[^\s$])(?!\d+(?:[.,]\d+)?(?:\s|$))(?P<dm>(?:[^$\n\\]|\\.)*?)(?<=[^\s\\])\$(?![\w$])"
 LATEX = re.compile(
     r"(?P<display>\$\$(?=[^$])(?P<dd>.+?)\$\$|\\\[(?P<db>.+?)\\\]|\\\((?P<dp>.+?)\\\))"
-    r"|(?P<env>\\(?:begin|end)\{[A-Za-z]+\*?\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?)"
+    r"|(?P<mathenv>\\begin\{(?P<me>equation|align|alignat|gather|multline|eqnarray|displaymath|math|flalign|split)(?P<ms>\*?)\}(?P<mx>.*?)\\end\{(?P=me)(?P=ms)\})"
+    r"|(?P<tabular>\\begin\{(?P<te>tabular[xy]?|longtable|array)\*?\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})*(?P<tb>.*?)\\end\{(?P=te)\*?\})"
+    r"|(?P<env>\\(?P<eb>begin|end)\{(?P<en>[A-Za-z]+)\*?\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?)"
     r"|(?P<sect>\\(?P<sl>part|chapter|section|subsection|subsubsection|paragraph)\*?\{(?P<sx>[^{}\n]*)\})"
     r"|(?P<item>\\item\b[ \t]*)"
     r"|(?P<wrap>\\(?:textbf|textit|textsc|textsl|textrm|textsf|emph|underline|text|mbox|caption|title|footnote)\{(?P<wx>(?:[^{}]|\{[^{}]*\})*)\})"
     r"|(?P<href>\\href\{[^{}\n]*\}\{(?P<hx>[^{}\n]*)\})"
-    r"|(?P<cmd>\\(?:url|ref|eqref|cite[pt]?|label|includegraphics|usepackage|documentclass|input|include|bibliography|newcommand|renewcommand|frac|sqrt|mathrm|mathbf|mathbb|mathcal|hat|bar|vec|operatorname|color|textcolor|hspace|vspace|centering|hline|maketitle|noindent|newpage|LaTeX|TeX|ldots|dots|alpha|beta|gamma|delta|epsilon|lambda|sigma|theta|sum|int|prod|infty|nabla|partial|cdot|times|leq?|geq?|neq?|approx|rightarrow|to|in|log|exp|lim)(?![A-Za-z])(?:\*?(?:\[[^\]\n]*\])?(?:\{(?:[^{}\n]|\{[^{}\n]*\})*\})*))"
+    r"|(?P<cmd>\\(?P<cn>url|ref|eqref|cite[pt]?|label|includegraphics|usepackage|documentclass|input|include|bibliography|newcommand|renewcommand|frac|sqrt|mathrm|mathbf|mathbb|mathcal|hat|bar|vec|operatorname|color|textcolor|hspace|vspace|centering|hline|maketitle|noindent|newpage|LaTeX|TeX|ldots|dots|alpha|beta|gamma|delta|epsilon|lambda|sigma|theta|sum|int|prod|infty|nabla|partial|cdot|times|leq?|geq?|neq?|approx|rightarrow|to|in|log|exp|lim)(?![A-Za-z])(?:\*?(?:\[[^\]\n]*\])?(?:\{(?:[^{}\n]|\{[^{}\n]*\})*\})*))"
     rf"|(?P<dollar>{_DOLLAR})",
     re.DOTALL,
 )
@@ -113,6 +117,7 @@ class _Events(HTMLParser):
         self.html = False
         self.links = 0
         self.skip = 0
+        self.lists: list[int | None] = []  # of each open list the number of its last item, None if it has none
         self.at = 0  # where the tag at hand starts
         self.never_closed: set[str] = set()  # from here on
 
@@ -162,8 +167,13 @@ class _Events(HTMLParser):
             self.skip += 1
         elif len(tag) == 2 and tag[0] == "h" and tag[1].isdigit():
             self._break(_HEAD * int(tag[1]) + " ")
+        elif tag in ("ol", "ul", "menu", "dir"):
+            self._break()
+            self.lists.append(0 if tag == "ol" else None)
         elif tag == "li":
-            self._break("- ")
+            if self.lists and self.lists[-1] is not None:
+                self.lists[-1] += 1
+            self._break(f"{self.lists[-1]}. " if self.lists and self.lists[-1] else "- ")
         elif tag == "blockquote":
             self._break()
         elif tag == "img":
@@ -198,6 +208,10 @@ class _Events(HTMLParser):
             self.skip = max(0, self.skip - 1)
         elif tag == "a":
             self.links = max(0, self.links - 1)
+        elif tag in ("ol", "ul", "menu", "dir"):
+            self._break()
+            if self.lists:
+                self.lists.pop()
         elif tag in _BLOCKS and tag not in ("td", "th"):
             self._break()
 
@@ -237,7 +251,7 @@ def content_lines(lines: list[list], *, sigma: float = 1.0, factor: float = 0.5)
 
     The threshold is ``factor`` times the standard deviation of the ratios, at
     most their mean.  Below it a line still is content if it has structure or
-    text outside links.
+    most of its text is outside links, for a short sentence is no navigation.
     """
     if not any(line[2] for line in lines):
         return [line[0] for line in lines]
@@ -252,9 +266,9 @@ def content_lines(lines: list[list], *, sigma: float = 1.0, factor: float = 0.5)
     threshold = min(mean, factor * math.sqrt(sum((r - mean) ** 2 for r in smooth) / len(smooth)))
     out = []
     for line, r, own in zip(lines, smooth, ratio, strict=True):
-        outside = len(line[0].strip()) - line[2]
+        own_text = sum(c.isalnum() for c in line[0])
         # smoothing alone would lift a row of links beside long paragraphs
-        if min(r, 4 * own) >= threshold or line[3] or outside > 3 or _OPEN in line[0]:
+        if min(r, 4 * own) >= threshold or line[3] or 2 * line[2] < own_text or _OPEN in line[0]:
             out.append(line[0])
     return out
 
@@ -306,9 +320,14 @@ def analyse(text: str | None, clean: bool = True) -> tuple[str | None, list[str]
             kinds.add("wiki")
     out = src
     if "$" in out or "\\" in out:
-        out = LATEX.sub(lambda m: _latex(m, kinds, held), out)
+        out = LATEX.sub(_Latex(kinds, held), out)
+        if clean and len(held) > 1:
+            out = _joined(out, held)
     if "'" in out or "[" in out or "=" in out or "{" in out:
-        out = WIKI.sub(lambda m: _wiki(m, kinds), out)
+        tables = "{|" in out  # rows are only told from other lines inside a table
+        out = (WIKI_TABLE if tables else WIKI).sub(lambda m: _wiki(m, kinds), out)
+        if tables:  # rules between rows leave no blank lines
+            out = re.sub(r"^(\|[^\n]*)\n\n(?=\| )", r"\1\n", out, flags=re.MULTILINE)
     if _MAY_MARKDOWN.search(out):
         out = MARKDOWN.sub(lambda m: _markdown(m, kinds), out)
     if not clean:
@@ -321,23 +340,96 @@ WIKI_TAG = re.compile(r"</?(?:ref|references|gallery|math|nowiki|syntaxhighlight
 _MAY_MARKDOWN = re.compile(r"[*_\[~>#|]|^(?:=|-){3,}", re.MULTILINE)
 
 
-def _latex(m: re.Match, kinds: set, held: list) -> str:
-    g = m.lastgroup if m.lastgroup in ("display", "env", "sect", "item", "wrap", "href", "cmd", "dollar") else next(k for k in ("display", "env", "sect", "item", "wrap", "href", "cmd", "dollar") if m.group(k) is not None)
-    if g == "dollar":
-        body = m.group("dm")
-        if not _is_formula(body):
+# Commands whose argument is text to keep, and commands that stand for nothing in the text; the others are formulas.
+_SHOWN = frozenset("url ref eqref cite citep citet textcolor color".split())
+_SILENT = frozenset("label includegraphics usepackage documentclass input include bibliography newcommand renewcommand hspace vspace centering hline maketitle noindent newpage".split())
+_WORDS = {"LaTeX": "LaTeX", "TeX": "TeX", "ldots": "...", "dots": "..."}
+_LATEX_KINDS = ("display", "mathenv", "tabular", "env", "sect", "item", "wrap", "href", "cmd", "dollar")
+
+
+class _Latex:
+    """Structure out of LaTeX events in the order of the text: lists know their kind, formulas are set aside whole."""
+
+    def __init__(self, kinds: set, held: list) -> None:
+        self.kinds, self.held = kinds, held
+        self.lists: list[int | None] = []
+
+    def hold(self, group: str, body: str) -> str:
+        self.held.append((group, body))
+        return f"{_OPEN}{len(self.held) - 1}{_CLOSE}"
+
+    def __call__(self, m: re.Match) -> str:
+        g = next(k for k in _LATEX_KINDS if m.group(k) is not None)
+        if g == "dollar" and not _is_formula(m.group("dm")):
             return m.group()
-        kinds.add("latex")
-        held.append(("formula", body))
-        return f"{_OPEN}{len(held) - 1}{_CLOSE}"
-    kinds.add("latex")
-    if g == "display":
-        held.append(("formula", (m.group("dd") or m.group("db") or m.group("dp")).strip()))
-        return f"{_OPEN}{len(held) - 1}{_CLOSE}"
-    if g == "sect":
+        self.kinds.add("latex")
+        return getattr(self, g)(m)
+
+    def dollar(self, m: re.Match) -> str:
+        return self.hold("formula", m.group("dm"))
+
+    def display(self, m: re.Match) -> str:
+        return self.hold("formula", (m.group("dd") or m.group("db") or m.group("dp")).strip())
+
+    def mathenv(self, m: re.Match) -> str:
+        body = re.sub(r"\\(?:label\{[^{}]*\}|nonumber|notag)", "", m.group("mx"))
+        return self.hold("display", " ".join(body.split()))
+
+    def tabular(self, m: re.Match) -> str:
+        rows = [re.sub(r"\\(?:hline|toprule|midrule|bottomrule|cline\{[^{}]*\})", "", r) for r in re.split(r"\\\\(?:\[[^\]]*\])?", m.group("tb"))]
+        cells = [[LATEX.sub(self, " ".join(c.split())) for c in re.split(r"(?<!\\)&", r)] for r in rows]
+        return "\n" + "\n".join(" | ".join(c) for c in cells if any(c)) + "\n"
+
+    def env(self, m: re.Match) -> str:
+        if m.group("en") in ("enumerate", "itemize", "description"):
+            if m.group("eb") == "begin":
+                self.lists.append(0 if m.group("en") == "enumerate" else None)
+            elif self.lists:
+                self.lists.pop()
+        return ""
+
+    def item(self, m: re.Match) -> str:
+        if self.lists and self.lists[-1] is not None:
+            self.lists[-1] += 1
+            return f"{self.lists[-1]}. "
+        return "- "
+
+    def sect(self, m: re.Match) -> str:
         level = {"part": 1, "chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4}[m.group("sl")]
         return _HEAD * level + " " + m.group("sx")
-    return {"env": "", "item": "- ", "cmd": ""}.get(g, m.group("wx") or m.group("hx") or "")
+
+    def wrap(self, m: re.Match) -> str:
+        return m.group("wx")
+
+    def href(self, m: re.Match) -> str:
+        return m.group("hx")
+
+    def cmd(self, m: re.Match) -> str:
+        name = m.group("cn")
+        if name in _SILENT:
+            return ""
+        if name in _WORDS:
+            return _WORDS[name]
+        if name in _SHOWN:
+            shown = re.findall(r"\{([^{}]*)\}", m.group())
+            return shown[-1] if shown else ""
+        return self.hold("formula", m.group().strip())
+
+
+#: Formulas with nothing but blanks, signs and single letters between them are one.
+_NEIGHBOURS = re.compile(rf"{_OPEN}\d+{_CLOSE}(?:[ ]*(?:[-+*/=<>^_,]|[A-Za-z0-9](?![\w])|)[ ]*{_OPEN}\d+{_CLOSE})+")
+
+
+def _joined(text: str, held: list[tuple[str, str]]) -> str:
+    """Commands of one formula that stand in running text, put together."""
+
+    def join(m: re.Match) -> str:
+        if any(held[int(i)][0] != "formula" for i in _HELD.findall(m.group())):
+            return m.group()
+        held.append(("formula", _HELD.sub(lambda x: held[int(x.group(1))][1], m.group())))
+        return f"{_OPEN}{len(held) - 1}{_CLOSE}"
+
+    return _NEIGHBOURS.sub(join, text)
 
 
 def _wiki(m: re.Match, kinds: set) -> str:
@@ -348,6 +440,11 @@ def _wiki(m: re.Match, kinds: set) -> str:
         return m.group("ft").rpartition("|")[2]
     if m.group("link"):
         return m.group("la") or m.group("lt")
+    if m.group("template"):
+        # what a template shows are its parameters
+        return " ".join(p.rpartition("=")[2].strip() for p in m.group()[2:-2].split("|")[1:])
+    if "row" in m.re.groupindex and m.group("row"):
+        return "| " + re.sub(r"[ \t]*(?:!!|\|\|)[ \t]*", " | ", m.group("rx").strip())
     return m.group("et") or m.group("bx") or m.group("ix") or ""
 
 
@@ -355,6 +452,8 @@ def _markdown(m: re.Match, kinds: set) -> str:
     kinds.add("markdown")
     if m.group("h"):
         return _HEAD * len(m.group("hm")) + " " + m.group("ht")
+    if m.group("table"):
+        return m.group()  # its rows are kept as they are
     if m.group("setext"):
         return (_HEAD if m.group("sm")[0] == "=" else 2 * _HEAD) + " " + m.group("st")
     if m.group("auto"):
@@ -365,8 +464,8 @@ def _markdown(m: re.Match, kinds: set) -> str:
 def _render(out: str, held: list[tuple[str, str]]) -> str:
     def back(m: re.Match) -> str:
         group, body = held[int(m.group(1))]
-        if group == "formula":
-            return f"${body}$"
+        if group in ("formula", "display"):
+            return f"${body}$" if group == "formula" else f"$${body}$$"
         return f"`{body.strip()}`" if group in _INLINE else f"```\n{body.strip(chr(10))}\n```"
 
     plain = re.sub(r"[ \t]+(?=\n|$)", "", out.replace(_HEAD, "#"))

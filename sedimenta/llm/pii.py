@@ -14,6 +14,7 @@ import hashlib
 import hmac
 import re
 from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -85,7 +86,11 @@ _TITLE = r"(?:(?:Dr|Prof|Mr|Mrs|Ms|Miss|Sir|Herr|Frau|Mme|Señora?|Sra?|Ing|Dipl
 NAME = re.compile(rf"(?<![\w.@/\-\\&]){_TITLE}(?:{_PART}\s(?:{_INITIAL}\s)?{_PART}|{_INITIAL}\s(?:{_INITIAL}\s)?{_PART}|{_PART},\s(?:{_PART}|{_INITIAL}(?!\s?{_PART})))")
 _CAPITALS = re.compile(rf"[{_U}]\S*,?\s[{_U}]")
 
-DATE = re.compile(r"\b(?:born|birth ?date|date of birth|d\.?o\.?b\.?|geboren|né(?:e)? le|nacid[oa])\b[\s:=]*(?:on\s|am\s|the\s|el\s)?((?:19|20)\d{2}-\d{2}-\d{2})(?!\d)", re.IGNORECASE)
+# English names of months.
+MONTHS = "January February March April May June July August September October November December".split()
+_MONTH = rf"(?:{'|'.join(f'{m[:3]}(?:{m[3:]})?' if len(m) > 3 else m for m in MONTHS)})"
+_DAY_FORMS = rf"(?:19|20)\d{{2}}-\d{{2}}-\d{{2}}|\d{{1,2}}\s{_MONTH}\s(?:19|20)\d{{2}}|{_MONTH}\s\d{{1,2}},?\s(?:19|20)\d{{2}}|\d{{1,2}}([./])\d{{1,2}}\2(?:19|20)\d{{2}}"
+DATE = re.compile(rf"\b(?:born|birth ?date|date of birth|d\.?o\.?b\.?|geboren|né(?:e)? le|nacid[oa])\b[\s:=]*(?:on\s|am\s|the\s|el\s)?({_DAY_FORMS})(?!\d)", re.IGNORECASE)
 
 TYPES = {"email": "EMAIL", "street_address": "ADDRESS", "id_number": "ID", "phone": "PHONE", "birth_date": "DATE", "person_name": "NAME"}
 
@@ -100,6 +105,7 @@ _MAY_EMAIL = ("@", "&#", "&commat")
 _MAY_AT = re.compile(r"[\[({]\s?at\s?[\])}]|\sdot\s")
 _MAY_ID = ("pass", "pasa", "licen", "lizenz", "schein", "permis", "ssn", "ni n", "policy", "social", "sozial", "number", "insur", "nhs", "tax", "tin", "steuer", "ident", "id card", "id-card", "driver", "national id", "ausweis", "personal id", "voter", "citizen", "dula", "pesel", "bsn", "nif", "nie", "dni", "cpf", "curp", "fiscal", "nino", "num")
 _MAY_NUMBER = re.compile(r"\d[\d).]*[ .\-(]\(?\d{2}|\+\d|(?<!\d)00[1-9]\d{9}|\(0\d{2,4}\)")
+_MAY_DATE = re.compile(r"born|birth|d\.?o\.?b|geboren|née? le|nacid")
 _TAIL = re.compile(r"(?:ext|x|extension|poste|durchwahl)\.?\s?\d+$", re.IGNORECASE)
 LEADING = re.compile(
     rf"\d[a-z]?,?\s[{_U}]\S*\s(?:\S+\s){{0,3}}?{_SUFFIX}\b|\d{_RUE}"
@@ -151,6 +157,7 @@ def find(text: str | None, *, cheap: bool = True) -> list[tuple[int, int, str]]:
         for m in PHONE.finditer(text):
             if 7 <= _digits(_TAIL.sub("", m.group())) <= 15:
                 add(m.start(), m.end(), "phone")
+    if not cheap or _MAY_DATE.search(low):
         for m in DATE.finditer(text):
             if _date(m.group(1)):
                 add(m.start(1), m.end(1), "birth_date")
@@ -164,57 +171,134 @@ def _round(key: bytes, i: int, half: str, width: int) -> int:
     return int.from_bytes(hmac.new(key, f"{i}:{width}:{half}".encode(), hashlib.sha256).digest()[:16], "big")
 
 
-def feistel(digits: str, key: bytes, *, back: bool = False, rounds: int = 10) -> str:
-    """A keyed permutation of decimal strings of one length; ``back`` inverts it."""
-    n = len(digits)
+def feistel(text: str, key: bytes, *, back: bool = False, rounds: int = 10, alphabet: str = "0123456789") -> str:
+    """A keyed permutation of the strings of one length over an alphabet; ``back`` inverts it."""
+    n, radix = len(text), len(alphabet)
     if n < 2:
-        return digits
+        return text
     u, v = n // 2, n - n // 2
-    a, b = digits[:u], digits[u:]
+
+    def number(part: str) -> int:
+        out = 0
+        for c in part:
+            out = out * radix + alphabet.index(c)
+        return out
+
+    def string(value: int, width: int) -> str:
+        out = ""
+        for _ in range(width):
+            value, at = divmod(value, radix)
+            out = alphabet[at] + out
+        return out
+
+    a, b = text[:u], text[u:]
     for i in reversed(range(rounds)) if back else range(rounds):
         m = u if i % 2 == 0 else v
         if back:
-            a, b = str((int(b) - _round(key, i, a, n)) % 10**m).zfill(m), a
+            a, b = string((number(b) - _round(key, i, a, n)) % radix**m, m), a
         else:
-            a, b = b, str((int(a) + _round(key, i, b, n)) % 10**m).zfill(m)
+            a, b = b, string((number(a) + _round(key, i, b, n)) % radix**m, m)
     return a + b
 
 
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _in_place(value: str, turned: Iterator[str], wanted: Callable[[str], bool]) -> str:
+    return "".join(next(turned) if wanted(c) else c for c in value)
+
+
 def pseudonym_number(value: str, key: bytes, *, back: bool = False) -> str:
-    """The number with its digits permuted and all other characters in place."""
-    turned = iter(feistel("".join(c for c in value if c.isdigit()), key, back=back))
-    return "".join(next(turned) if c.isdigit() else c for c in value)
+    """The number with its digits permuted, its capitals likewise, and all other characters in place."""
+    digits = feistel("".join(c for c in value if c in "0123456789"), key, back=back)
+    letters = feistel("".join(c for c in value if c in _LETTERS), key, back=back, alphabet=_LETTERS)
+    return _in_place(_in_place(value, iter(digits), lambda c: c in "0123456789"), iter(letters), lambda c: c in _LETTERS)
+
+
+# Calling codes of one and of two digits; all others have three.
+CODES_1, CODES_2 = frozenset("17"), frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def _prefix(value: str) -> int:
+    """Digits of a phone number before its national part: calling code, exit code or trunk zero."""
+    digits = "".join(c for c in value if c in "0123456789")
+    zeros = 0 if value.lstrip("( ").startswith("+") else 2 if digits.startswith("00") else None
+    if zeros is None:
+        return 1 if digits.startswith("0") or (len(digits) == 11 and digits.startswith("1")) else 0
+    code = digits[zeros:]
+    n = zeros + (1 if code[:1] in CODES_1 else 2 if code[:2] in CODES_2 else 3)
+    return n + (1 if digits[n : n + 1] == "0" else 0)
+
+
+def pseudonym_phone(value: str, key: bytes, *, back: bool = False) -> str:
+    """The number with its national part permuted in place, so that it is the same with and without a calling code; an extension is permuted by itself."""
+    tail = _TAIL.search(value)
+    main, rest = (value[: tail.start()], value[tail.start() :]) if tail else (value, "")
+    digits = "".join(c for c in main if c in "0123456789")
+    at = _prefix(main)
+    turned = _in_place(main, iter(digits[:at] + feistel(digits[at:], key, back=back)), lambda c: c in "0123456789")
+    inner = feistel("".join(c for c in rest if c in "0123456789"), key, back=back)
+    return turned + _in_place(rest, iter(inner), lambda c: c in "0123456789")
 
 
 _FIRST, _DAYS = dt.date(1900, 1, 1).toordinal(), 73_049  # 1900-01-01 to 2099-12-31
 
 
 def _date(value: str) -> dt.date | None:
+    """The day that one of the forms names; day before month where it is all numbers."""
+    words = re.findall(r"\w+", value)
     try:
-        return dt.date.fromisoformat(value)
-    except ValueError:
+        if "-" in value:
+            return dt.date.fromisoformat(value)
+        if words[0].isdigit() and words[1].isdigit():
+            return dt.date(int(words[2]), int(words[1]), int(words[0]))
+        day, month = (words[0], words[1]) if words[0].isdigit() else (words[1], words[0])
+        return dt.date(int(words[2]), [m[:3].lower() for m in MONTHS].index(month[:3].lower()) + 1, int(day))
+    except (ValueError, IndexError):
         return None
 
 
+def _in_form(day: dt.date, value: str) -> str:
+    """Another day in the form of ``value``."""
+    if "-" in value:
+        return day.isoformat()
+    words = re.findall(r"\w+", value)
+    if words[1].isdigit() and words[0].isdigit():
+        sep = value[len(words[0])]
+        return f"{day.day:02d}{sep}{day.month:02d}{sep}{day.year}"
+    name = MONTHS[day.month - 1]
+    if words[0].isdigit():
+        return f"{day.day} {name} {day.year}"
+    return f"{name} {day.day}{',' if ',' in value else ''} {day.year}"
+
+
 def pseudonym_date(value: str, key: bytes, *, back: bool = False) -> str:
-    """Another valid date of 1900 to 2099: the permutation is walked until it falls into the range."""
-    n = dt.date.fromisoformat(value).toordinal() - _FIRST
+    """Another valid date of 1900 to 2099 in the same form: the permutation is walked until it falls into the range."""
+    day = _date(value)
+    n = day.toordinal() - _FIRST if day else -1
     if not 0 <= n < _DAYS:
         return value
     while True:
         n = int(feistel(str(n).zfill(5), key, back=back))
         if n < _DAYS:
-            return dt.date.fromordinal(_FIRST + n).isoformat()
+            return _in_form(dt.date.fromordinal(n + _FIRST), value)
 
 
 def placeholder(kind: str, value: str, key: bytes) -> str:
-    if kind in ("phone", "id_number"):
-        # the same number in another spelling keeps its pseudonym
-        return f"[{TYPES[kind]} {feistel(''.join(c for c in value if c.isdigit()), key)}]"
+    """A typed placeholder; equal values have equal ones.
+
+    Numbers and dates keep their form, digits and capitals permuted; the digits
+    are the same however the number is spelt.  Other values get a keyed hash of
+    128 bits, so that different ones do not meet in a corpus of any size.
+    """
+    if kind == "phone":
+        return f"[{TYPES[kind]} {pseudonym_phone(value, key)}]"
+    if kind == "id_number":
+        return f"[{TYPES[kind]} {pseudonym_number(value, key)}]"
     if kind == "birth_date":
-        return f"[DATE {pseudonym_date(value, key)}]"
+        return f"[{TYPES[kind]} {pseudonym_date(value, key)}]"
     plain = re.sub(r"^mailto:", "", value.lower()) if kind == "email" else " ".join(sorted(re.findall(r"\w+", value.lower())))
-    return f"[{TYPES[kind]} {hmac.new(key, f'{kind}:{plain}'.encode(), hashlib.sha256).hexdigest()[:8]}]"
+    return f"[{TYPES[kind]} {hmac.new(key, f'{kind}:{plain}'.encode(), hashlib.sha256).hexdigest()[:32]}]"
 
 
 def redact_text(text: str, key: bytes) -> str:
