@@ -21,8 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Records that the classifier is fitted on at most: trusted ones and others, taken by a hash of their id.
-FIT_TRUSTED, FIT_UNLABELLED = 5_000, 20_000
+#: Records that the classifier is fitted on at most, taken by a hash.
+FIT_RECORDS = 40_000
 
 # An unfilled slot in the syntax of common template engines.
 _NAME = r"[A-Za-z][\w.\-]*(?:[ _][\w.\-]+){0,3}"
@@ -187,12 +187,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30.0, 30.0)))
 
 
-def fit(records: Iterable[tuple[str | None, bool]], *, rounds: int = 20, tolerance: float = 0.5, seeds: Callable[[str, set[str]], bool] | None = None) -> Model:
+def fit(records: Iterable[str | None], *, rounds: int = 20, tolerance: float = 0.5, seeds: Callable[[str, set[str]], bool] | None = None) -> Model:
     """Positive-unlabelled naive Bayes by expectation-maximization.
 
-    ``records`` are (text, drawn): records drawn at random tell how frequent
-    residue is, others are there for their trusted passages.  ``seeds`` tells
-    whether a passage with these features is trusted (by default ``trusted``).
+    ``records`` are texts drawn at random.  ``seeds`` tells whether a passage with
+    these features is trusted (by default ``trusted``).
 
     The unit of counting is the distinct passage, digits aside: a template
     counts once however often it was stamped out, so that its words do not look
@@ -207,8 +206,8 @@ def fit(records: Iterable[tuple[str | None, bool]], *, rounds: int = 20, toleran
     number: dict[str, int] = {}  # distinct passage
     vocabulary: dict[str, int] = {}
     feature_of, lengths, sure, kind = array("l"), array("l"), array("b"), array("b")
-    record_of, passage_of, sizes, around, drawn = array("l"), array("l"), array("l"), [], array("b")
-    for text, is_drawn in records:
+    record_of, passage_of, sizes, around = array("l"), array("l"), array("l"), []
+    for text in records:
         where, content = parts(text)
         if not content:
             continue
@@ -225,12 +224,11 @@ def fit(records: Iterable[tuple[str | None, bool]], *, rounds: int = 20, toleran
             passage_of.append(k)
         sizes.append(len(content))
         around.append(where)
-        drawn.append(is_drawn)
     sure_ = np.array(sure, dtype=bool)
     if not sure_.any():
         return NOTHING
     feature, length, kinds = np.array(feature_of), np.array(lengths), np.array(kind)
-    rec, pas, is_drawn_ = np.array(record_of), np.array(passage_of), np.array(drawn, dtype=bool)
+    rec, pas = np.array(record_of), np.array(passage_of)
     of = np.repeat(np.arange(len(length)), length)  # passage of every feature entry
     n_rec, n_pas, n_feat = len(sizes), len(length), len(vocabulary)
     root = np.sqrt(np.maximum(length, 1))
@@ -253,11 +251,10 @@ def fit(records: Iterable[tuple[str | None, bool]], *, rounds: int = 20, toleran
             pi = n_p / (n_p + n_u)
             p = np.bincount(feature, weights=mine[of], minlength=n_feat)
             table[:, c] = np.clip(np.log((p + SMOOTH * pi) / pi) - np.log((u + SMOOTH * (1 - pi)) / (1 - pi)), LOW, HIGH)
-        count = use & is_drawn_
-        a, b = z[count].sum(), (1 - z[count]).sum()
+        a, b = z[use].sum(), (1 - z[use]).sum()
         prior = math.log((a + 1) / (b + 1))
-        with_a = np.bincount(mark[count].ravel(), weights=np.repeat(z[count], 2), minlength=len(marks))
-        with_b = np.bincount(mark[count].ravel(), weights=np.repeat(1 - z[count], 2), minlength=len(marks))
+        with_a = np.bincount(mark[use].ravel(), weights=np.repeat(z[use], 2), minlength=len(marks))
+        with_b = np.bincount(mark[use].ravel(), weights=np.repeat(1 - z[use], 2), minlength=len(marks))
         at = np.log((with_a + SMOOTH * (a + 1) / (a + b + 2)) / (a + SMOOTH)) - np.log((with_b + SMOOTH * (b + 1) / (a + b + 2)) / (b + SMOOTH))
         evidence = np.max([np.bincount(of, weights=table[feature, c], minlength=n_pas) for c in range(len(KINDS))], axis=0) / root * SCALE
         each = evidence[pas]
@@ -282,7 +279,9 @@ def evidence(marks: set[str], odds: dict[str, tuple[float, float, float]]) -> fl
 def judge(text: str | None, model: Model) -> tuple[bool, float]:
     """(is residue, log-odds) of a record: prior, surroundings, and the evidence of all passages.
 
-    A record without passages besides navigation is no residue.
+    A record without passages besides navigation is no residue.  Where even the
+    bounded evidence for residue cannot make up for the real content seen so
+    far, the answer is known, and the log-odds are an upper bound.
     """
     where, content = parts(text)
     if not content:
@@ -294,34 +293,23 @@ def judge(text: str | None, model: Model) -> tuple[bool, float]:
             good += x
         else:
             total += x
+            if total + CAP <= 0:
+                return False, total + CAP
     total += min(CAP, good)
     return total > 0, total
 
 
-def any_trusted(text: str | None) -> bool:
-    return any(trusted(p) for p in passages(text) if not is_navigation(p))
-
-
-def _marks(texts: pd.Series) -> pd.Series:
-    return pd.Series([any_trusted(t) for t in texts], dtype=bool)
-
-
 def fit_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
-    """Fit on a bounded sample: at most FIT_TRUSTED records with trusted passages and FIT_UNLABELLED others.
+    """Fit on a bounded sample of at most FIT_RECORDS records; the trusted passages in it are the seeds.
 
-    Records are taken by a hash of their id, so the sample is spread over the
-    whole table and the same for the same table.
+    Records are taken by a hash of their id and text, so the sample is spread
+    over the whole table and the same for the same table.
     """
     n = docs.count()  # from the footers
-    if not n:
-        return NOTHING
     keyed = docs.where(F.col(text).isNotNull()).select(F.xxhash64(doc_id, text).alias("h"), F.col(text).alias("t"))
-    # a thinned part is looked through for trusted passages, a thinner one serves as unlabelled
-    part = keyed.where(F.pmod("h", F.lit(1_000_003)) < F.lit(math.ceil(1_000_003 * min(1.0, 20 * FIT_TRUSTED / n))))
-    sure = part.where(F.pandas_udf(_marks, "boolean")("t")).orderBy("h", "t").limit(FIT_TRUSTED).toPandas()
-    rest = keyed.where(F.pmod("h", F.lit(999_983)) < F.lit(math.ceil(999_983 * min(1.0, 1.05 * FIT_UNLABELLED / n)))).orderBy("h", "t").limit(FIT_UNLABELLED).toPandas()
-    drawn = set(rest["h"])
-    return fit([(t, True) for t in rest["t"]] + [(t, False) for h, t in zip(sure["h"], sure["t"], strict=True) if h not in drawn])
+    share = math.ceil(1_000_003 * min(1.0, 1.05 * FIT_RECORDS / max(n, 1)))
+    rows = keyed.where(F.pmod("h", F.lit(1_000_003)) < F.lit(share)).orderBy("h", "t").limit(FIT_RECORDS).select("t").toPandas()["t"]
+    return fit(rows)
 
 
 def residue(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
