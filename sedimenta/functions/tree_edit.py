@@ -113,9 +113,24 @@ def script(
         edits += [e for pair in pairs.items() for e in within.get(pair, []) if e.kind == RENAME]
     edits += [Edit(DELETE, (*here, k), ()) for k in gone] + [Edit(ADD, (*there, x), (*there, x)) for x in new]
     if moves:
-        lost_at = {e.path[-1]: e for e in edits if e.kind == DELETE}
+        gone = {e.path[-1]: e for e in edits if e.kind == DELETE}
+        for path in _absent(contract, seen, here):  # a field that may be absent can have moved as well
+            gone.setdefault(path[-1], Edit(DELETE, path, ()))
         for e in [e for e in edits if e.kind == ADD]:
-            if (d := lost_at.pop(e.path[-1], None)) and d.path[:-1] != e.path[:-1]:
+            d = gone.get(e.path[-1])
+            if d and d.path[:-1] != e.path[:-1]:
+                del gone[e.path[-1]]
+                total -= (delete + add) / 2 if d in edits else add / 2
                 edits = [x for x in edits if x not in (d, e)] + [Edit(MOVE, d.path, e.path)]
-                total -= (delete + add) / 2
     return total, edits
+
+
+def _absent(contract: dict, seen: dict, here: Path) -> list[Path]:
+    """Contract fields without a field of their name in their place."""
+    out = []
+    for k, below in contract.items():
+        if k not in seen:
+            out.append((*here, k))
+        if below:
+            out += _absent(below, seen.get(k) or {}, (*here, k))
+    return out
