@@ -396,7 +396,8 @@ def read_records(lines: DataFrame, changes: DataFrame, entities: Iterable[str] =
     spoiled = F.filter(F.array(*[F.when(F.col(f"__v{i}").isNull() & F.col(f"__t{i}").isNotNull(), F.struct(F.col(f"__p{i}").alias("path"), F.col(f"__t{i}").alias("value"))) for i in range(len(leaves))]), lambda x: x.isNotNull())
     used = F.array(*[F.coalesce(F.col(f"__p{i}"), F.lit("")) for i in range(len(leaves))])
     is_struct = F.col("__o").isNotNull() & F.lit(JUDGED in having)
-    top = F.filter(F.map_entries(F.coalesce("__f", F.create_map().cast("map<string,string>"))), lambda x: x["value"].isNotNull() & ~F.array_contains(used, x["key"]) & ~(is_struct & (x["key"] == F.col("__j"))))
+    used_top = F.filter(used, lambda p: ~(is_struct & F.startswith(p, F.concat(F.col("__j"), F.lit(".")))))  # a top key may look like a path into the struct
+    top = F.filter(F.map_entries(F.coalesce("__f", F.create_map().cast("map<string,string>"))), lambda x: x["value"].isNotNull() & ~F.array_contains(used_top, x["key"]) & ~(is_struct & (x["key"] == F.col("__j"))))
     low = F.filter(F.map_entries(F.coalesce("__o", F.create_map().cast("map<string,string>"))), lambda x: is_struct & x["value"].isNotNull() & ~F.array_contains(used, F.concat(F.col("__j"), F.lit("."), x["key"])))
     quoted = F.transform(top, lambda x: F.struct(F.when(x["key"].rlike(r"[.\[\]]"), F.concat(F.lit('["'), x["key"], F.lit('"]'))).otherwise(x["key"]).alias("path"), x["value"].alias("value")))
     inner = F.transform(low, lambda x: F.struct(F.concat(F.col("__j"), F.lit("."), x["key"]).alias("path"), x["value"].alias("value")))

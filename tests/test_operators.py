@@ -1,6 +1,7 @@
 """Core operators against brute force, with their edge cases."""
 
 import datetime as dt
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -140,14 +141,45 @@ def test_records_of_all_entities_in_one_table(spark):
     df = spark.createDataFrame(rows, "entity string, _source_file string, raw_record string")
     changes = schema_changes(df, inside=True).cache()
     table = read_records(df, changes).cache()
-    assert table.columns == ["entity", "source_file", *kinds]
+    assert table.columns == ["entity", "source_file", *kinds, "_rescued_data"]
     got = {(r.entity, r.source_file): r for r in table.collect()}
     assert set(got) == {("questions", "q"), ("answers", "a"), ("deleted_questions", "d"), ("question_snapshots", "s"), ("answers", None)}
     assert got["questions", "q"].owner.user_id == 2 and got["questions", "q"].detected_at is None
     assert (got["answers", "a"].answer_id, got["answers", "a"].title, got["answers", "a"].score) == (3, None, 4)
+    assert json.loads(got["answers", "a"]._rescued_data) == {"title": "not in the contract"} and json.loads(got["questions", "q"]._rescued_data) == {"detected_at": "9"}
     assert got["deleted_questions", "d"].is_deleted is True and got["question_snapshots", "s"].snapshot_at == 8
     for e in RAW:
-        assert table.where(F.col("entity") == e).select("source_file", *RAW[e]).exceptAll(read_consistent(df, changes, e)).count() == 0
+        assert table.where(F.col("entity") == e).select("source_file", *RAW[e], "_rescued_data").exceptAll(read_consistent(df, changes, e)).count() == 0
+
+
+def test_nothing_of_a_drifted_file_is_lost(spark):
+    line = '{"answer_id": %d, "question_id": 1, "body": "b", "owner": {"user_id": %d, "user_type": "registered", "name_shown": "Nick %d", "a.b": 1}, "is_accepted": true, "score": "%d pts", "creation_date": 5, "last_activity_date": 5, "content_license": "CC", "extra": {"x": [1]}, "owner.user_id": "top"}'
+    usual = '{"answer_id": %d, "question_id": 1, "body": "b", "owner": {"user_id": 1, "user_type": "registered", "display_name": "Nick %d"}, "is_accepted": true, "score": 1, "creation_date": 5, "last_activity_date": 5, "content_license": "CC"}'
+    rows = [("answers", "f", line % (i, i, i, i)) for i in range(12)] + [("answers", "g", usual % (i, i)) for i in range(12)]
+    # what belongs into owner stands beside it
+    rows += [("answers", "h", (usual % (i, i)).replace('"display_name": "Nick %d"' % i, '"link": "l"').replace('"is_accepted"', '"display_name": "Nick %d", "reputation": 7, "is_accepted"' % i)) for i in range(12)]
+    df = spark.createDataFrame(rows, "entity string, _source_file string, raw_record string")
+    changes = schema_changes(df, inside=True).cache()
+    table = {(r.source_file, r.answer_id): r for r in read_consistent(df, changes, "answers").collect()}
+    one = table["f", 3]
+    assert one.owner.display_name == "Nick 3" and one.score is None
+    assert json.loads(one._rescued_data) == {"score": "3 pts", "extra": '{"x":[1]}', "owner.a.b": "1", '["owner.user_id"]': "top"}
+    assert table["g", 3]._rescued_data is None and table["g", 3].score == 1
+    assert table["h", 3].owner.display_name == "Nick 3" and table["h", 3].owner.reputation == 7 and table["h", 3]._rescued_data is None
+    moved = {(r.change_kind, r.column_path, r.seen_path) for r in changes.where("source_file = 'h'").collect()}
+    assert {("moved", "owner.display_name", "display_name"), ("moved", "owner.reputation", "reputation")} <= moved
+    report = {(r.change_kind, r.column_path) for r in schema_changes(df).where("source_file = 'h'").collect()}
+    assert report == {("removed", "owner.display_name"), ("added", "display_name"), ("added", "reputation")}
+
+
+def test_a_rename_in_few_of_the_lines_among_many_new_names(spark):
+    base = {"question_id": 1, "snapshot_at": 1770000000, "score": 1, "answer_count": 0, "is_answered": True, "closed_date": None}
+    rows = [("question_snapshots", "f", json.dumps(base | ({"viewCount": 100 + i} if i % 10 == 0 else {}) | {f"k{i}_{j}": "x" for j in range(20)})) for i in range(60)]
+    rows += [("question_snapshots", "g", json.dumps(base | {"view_count": 100 + i})) for i in range(60)]
+    df = spark.createDataFrame(rows, "entity string, _source_file string, raw_record string")
+    changes = schema_changes(df).cache()
+    assert {(r.source_file, r.column_path, r.seen_path, r.lines) for r in changes.where("change_kind = 'renamed'").collect()} == {("f", "view_count", "viewCount", 6)}
+    assert changes.where("change_kind = 'added'").count() == 1200 and changes.count() == 1201
 
 
 def test_select_operators(spark):
