@@ -1,4 +1,4 @@
-"""Command line: raw-to-bronze, bronze-to-silver, silver-to-gold or all of them."""
+"""Command line: setup, raw-to-bronze, bronze-to-silver, silver-to-gold or all of these, and maintain."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from sedimenta.session import build_session
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="sedimenta")
-    p.add_argument("command", choices=["raw-to-bronze", "bronze-to-silver", "silver-to-gold", "all"])
+    p.add_argument("command", choices=["setup", "maintain", "raw-to-bronze", "bronze-to-silver", "silver-to-gold", "all"])
     p.add_argument("--root", required=True, help="folder of the tables")
     p.add_argument("--landing", required=True, help="folder of the landed batches")
     p.add_argument("--master", default="local[*]")
@@ -28,6 +28,10 @@ def main(args: list[str] | None = None) -> int:
     a = parser().parse_args(args)
     house = Lakehouse(build_session(a.master), a.root, a.landing)
     scope = {"batch_ids": a.batch_ids, "start": a.start, "end": a.end}
+    if a.command in ("setup", "all"):
+        print(json.dumps(house.setup()))
+    if a.command == "maintain":
+        print(json.dumps(house.maintain()))
     if a.command in ("raw-to-bronze", "all"):
         print(json.dumps(house.raw_to_bronze(a.mode, **scope)))
     if a.command in ("bronze-to-silver", "all"):

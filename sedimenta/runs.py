@@ -99,6 +99,26 @@ class Lakehouse:
     def drift(self) -> VersionedTable:
         return self.table("ops.schema_drift_events", DRIFT, ["event_id"], buckets=1)
 
+    def setup(self) -> list[str]:
+        """Create the declared tables that are not there yet; the refined ones come with their first rows."""
+        tables = {f"bronze.{e}": self.bronze(e) for e in CONTRACTS} | {
+            "bronze.quarantine_records": self.quarantine, "ops.batch_registry": self.registry, "ops.pipeline_execution_logs": self.audit, "ops.schema_drift_events": self.drift,
+        }
+        made = [name for name, t_ in tables.items() if not t_.versions()]
+        for name in made:
+            tables[name].create()
+        return made
+
+    def maintain(self, keep: int = 2) -> dict[str, int]:
+        """Gather the appended log and remove the folders that only old versions of any table name: table -> folders removed."""
+        self.audit.gather()
+        files = Files(self.spark, self.root)
+        out = {}
+        for layer in files.names(self.root):
+            for name in files.names(f"{self.root}/{layer}") if files.is_folder(f"{self.root}/{layer}") else []:
+                out[f"{layer}.{name}"] = self.table(f"{layer}.{name}", {}, []).vacuum(keep)
+        return out
+
     # --- audit
     @contextlib.contextmanager
     def step(self, record: Step, *, strict: bool = False) -> Iterator[Step]:
@@ -218,7 +238,7 @@ class Lakehouse:
         df = self._stamped(cut(self._clean(silver.questions(raw, self.salt, self.tracked), silver.rules("questions"), "questions", "question_id", r)), r.started)
         guarded = ["score", "view_count", "answer_count", "is_answered_api", "has_any_answer"]
         spec = m.newer_with_guard(df.columns, ["question_id"], "source_extracted_at", "record_hash", guarded=guarded, as_of="metrics_as_of", deleted="is_deleted", deleted_at="deleted_detected_at", keep=["first_loaded_at"])
-        r.take(self.silver_table("questions", ["question_id"], df).merge(df, spec))
+        r.take(self.silver_table("questions", ["question_id"], df).merge(df, spec, settled=True))
 
     def _tags(self, ids: Sequence[str], r: Step) -> None:
         raw = self._raw("questions", ids)
@@ -229,14 +249,14 @@ class Lakehouse:
         wanted = self._stamped(silver.question_tags(winners, self.tracked), r.started, first=False)
         table = self.table("silver.question_tags", dict(wanted.dtypes), ["question_id", "tag"])
         changes = m.bridge_changes(table.read(), wanted, winners, "question_id", ["question_id", "tag"])
-        r.take(table.merge(cut(changes), m.bridge_sync(["question_id", "tag"], "is_tracked_tag", carry=["source_batch_id", "load_timestamp"])))
+        r.take(table.merge(changes, m.bridge_sync(["question_id", "tag"], "is_tracked_tag", carry=["source_batch_id", "load_timestamp"])))
 
     def _answers(self, ids: Sequence[str], r: Step) -> None:
         raw = self._raw("answers", ids)
         r.rows_read = raw.count()
         df = self._stamped(cut(self._clean(silver.answers(raw, self.salt), silver.rules("answers"), "answers", "answer_id", r)), r.started)
         spec = m.newer_and_different(df.columns, ["answer_id"], "source_extracted_at", "record_hash", ["first_loaded_at", "is_deleted", "deleted_detected_at"])
-        r.take(self.silver_table("answers", ["answer_id"], df).merge(df, spec))
+        r.take(self.silver_table("answers", ["answer_id"], df).merge(df, spec, settled=True))
 
     def _users(self, ids: Sequence[str], r: Step) -> None:
         df = self._stamped(silver.users(self._raw("questions", ids), self._raw("answers", ids), self.salt), r.started)

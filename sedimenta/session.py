@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +40,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if named is None:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="sedimenta-checkpoint-")
+        named = tempfile.mkdtemp(prefix="sedimenta-checkpoint-")  # one machine, one process
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(named)
     return named
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
@@ -14,6 +15,8 @@ from sedimenta.store import Files
 
 MANIFEST = "_manifest.json"
 KINDS = ("full", "incremental")
+#: Batch ids name folders and parts of tables, so only plain characters.
+SAFE_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.\-]*")
 STAMP = "%Y-%m-%dT%H:%M:%SZ"
 
 
@@ -34,6 +37,8 @@ class Batch:
 def open_batch(files: Files, path: str, load_type: str) -> Batch:
     """A batch as its manifest describes it; what is wrong with it goes to ``error``."""
     name = path.rstrip("/").rpartition("/")[2]
+    if not SAFE_ID.fullmatch(name):
+        return Batch(name, load_type, path, error="unsafe batch id")
     if MANIFEST not in files.names(path):
         return Batch(name, load_type, path, error=f"missing {MANIFEST}")
     try:
@@ -69,18 +74,27 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file_path")).where(F.length(F.trim("value")) > 0)
 
 
-def write_batch(folder: str, load_type: str, extracted_at: dt.datetime, records: dict[str, list[dict | str]]) -> None:
-    """A batch on a local disk: one file per entity and the manifest; strings are written as they are."""
+def write_batch(folder: str, load_type: str, extracted_at: dt.datetime, records: dict[str, list[dict | str]], files: Files | None = None) -> None:
+    """A batch: one file per entity and the manifest; strings are written as they are.
+
+    With ``files`` it goes to any file system that Spark writes, else to a local
+    disk.  The manifest comes last, so a batch that has one is whole.
+    """
     from pathlib import Path
 
-    at = Path(folder)
-    at.mkdir(parents=True, exist_ok=True)
+    def create(name: str, text: str) -> None:
+        if files:
+            files.create(f"{folder}/{name}", text)
+        else:
+            Path(folder).mkdir(parents=True, exist_ok=True)
+            (Path(folder) / name).write_text(text)
+
     sizes = {}
     for entity, rows in records.items():
         text = "".join((r if isinstance(r, str) else json.dumps(r)) + "\n" for r in rows)
-        (at / f"{entity}.jsonl").write_text(text)
+        create(f"{entity}.jsonl", text)
         sizes[f"{entity}.jsonl"] = {"records": len(rows), "bytes": len(text.encode())}
-    (at / MANIFEST).write_text(json.dumps({"load_type": load_type, "extracted_at_utc": extracted_at.strftime(STAMP), "files": sizes}))
+    create(MANIFEST, json.dumps({"load_type": load_type, "extracted_at_utc": extracted_at.strftime(STAMP), "files": sizes}))
 
 
 def reconcile(known: DataFrame, seen: DataFrame, key: str, detected_at: int) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sedimenta import store
 from sedimenta.contracts import tree_of
 from sedimenta.operators import merge as m
 from sedimenta.store import VersionedTable
@@ -89,6 +90,65 @@ def test_time_travel_compact_and_vacuum(spark, tmp_path):
     assert sorted(r.h for r in t.read().collect()) == ["c", "d"]
 
 
+def test_merge_after_compaction_touches_only_its_parts(spark, tmp_path):
+    t = table(spark, tmp_path / "t")
+    t.merge(rows(spark, [(k, 1, "a", 0, 0) for k in range(40)]), newer())
+    t.compact(["lo"])
+    before = dict(t.version().parts)
+    assert set(before) <= {"0", "1", "2", "3"}
+    t.merge(rows(spark, [(7, 2, "b", 0, 0)]), newer())
+    after = t.version().parts
+    assert sum(before[p] != after[p] for p in before) == 1 and t.key_faults() == 0 and t.read().count() == 40
+
+
+def test_a_table_that_outgrew_its_buckets_gets_more(spark, tmp_path, monkeypatch):
+    t = table(spark, tmp_path / "t")
+    t.merge(rows(spark, [(k, 1, "a", 0, 0) for k in range(40)]), newer())
+    monkeypatch.setattr(store, "PART_BYTES", t.size() // 7)
+    t.compact(["k"])
+    assert t.version().buckets == 8 and len(t.version().parts) > 4
+    assert t.merge(rows(spark, [(k, 2, "b", 0, 0) for k in range(38, 42)]), newer()) == {"inserted": 2, "updated": 2, "deleted": 0}
+    assert t.read().count() == 42 and t.key_faults() == 0
+
+
+def test_sync_writes_only_parts_that_differ(spark, tmp_path):
+    t = table(spark, tmp_path / "t")
+    spec = m.full_sync(list(COLUMNS), ["k"], "h")
+    data = [(k, 1, "a", 0, 0) for k in range(40)]
+    assert t.merge(rows(spark, data), spec)["inserted"] == 40
+    before, number = dict(t.version().parts), t.version().number
+    assert t.merge(rows(spark, data), spec) == {"inserted": 0, "updated": 0, "deleted": 0} and t.version().number == number
+    assert t.merge(rows(spark, data[:-1]), spec) == {"inserted": 0, "updated": 0, "deleted": 1}
+    after = t.version().parts
+    assert sum(before[p] != after.get(p) for p in before) == 1 and t.read().count() == 39
+
+
+def test_the_source_of_a_merge_is_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def mark(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    t = table(spark, tmp_path / "t")
+    t.merge(rows(spark, [(k, 1, "a", 0, 0) for k in range(9)]).mapInArrow(mark, "k bigint, v bigint, h string, lo bigint, hi bigint"), newer())
+    assert seen.value == 9 and t.read().count() == 9
+
+
+def test_the_log_does_not_grow_with_the_history(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "SNAPSHOT_EVERY", 3)
+    t = table(spark, tmp_path / "t")
+    for i in range(7):
+        t.append(rows(spark, [(i, 1, "a", 0, 0)]))
+    sizes = [len(t.files.read(f"{t.path}/_log/{n:08d}.json")) for n in t.versions()]
+    assert max(sizes) - min(sizes) < 20
+    assert [t.read(n).count() for n in t.versions()] == list(range(1, 8)) == [len(v.parts) for v in t.history()]
+    assert t.gather(5) and len(t.version().parts) == 1 and t.read().count() == 7
+    t.vacuum(2)
+    assert t.versions() == [7, 8] and t.read(7).count() == t.read().count() == 7
+
+
 def test_null_keys_match_nothing(spark):
     t, s = rows(spark, [(None, 1, "a", 0, 0)]), rows(spark, [(None, 2, "b", 0, 0)])
     out = m.merge(t, s, newer())
