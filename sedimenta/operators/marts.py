@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from sedimenta.functions.columns import date_key, hours_between, month_of
 
+#: Percentiles have a rank error of one in so many values; smaller groups are exact.
+ACCURACY = 100_000
+
 
 def lookup(spark: SparkSession, values: Mapping[str, str], key: str, value: str) -> DataFrame:
     """A small dimension given as a mapping; as many rows as the mapping has, so it may be broadcast."""
@@ -46,21 +49,22 @@ def percent(part: Column, whole: Column) -> Column:
     return (part / whole * 100).cast("double")
 
 
-def item_month(facts: DataFrame, items: DataFrame, key: str, item: str, month: str, *, counted: DataFrame, exact: bool = True) -> DataFrame:
+def item_month(facts: DataFrame, items: DataFrame, key: str, item: str, month: str, *, counted: DataFrame, exact: bool = False) -> DataFrame:
     """Per item and month: facts, counted rows, share of the month, response-time percentiles and percentages.
 
     ``facts`` has one row per key, ``items`` distinct (key, item), ``counted``
     rows per key (replies), counted in the month of their fact.  Replies are
     counted per key before the items fan out.  A month's size counts each fact
     at its smallest item only, so facts are read once and the total is a sum
-    over the small result.  ``exact`` percentiles keep all values of a group;
-    without it a sketch does.
+    over the small result.  Percentiles come from
+    combining summaries with a rank error of 1 / ACCURACY; ``exact`` ones keep
+    all values of a group.
     """
     pairs = items.select(key, item).distinct()
     smallest = pairs.groupBy(key).agg(F.min(item).alias("__smallest"))
     per_key = counted.groupBy(key).agg(F.count(F.lit(1)).alias("__replies"))
     fanned = facts.join(smallest, key).join(per_key, key, "left").join(pairs, key)
-    rank = (lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY hours_to_first_answer)")) if exact else (lambda q: F.percentile_approx("hours_to_first_answer", q))
+    rank = (lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY hours_to_first_answer)")) if exact else (lambda q: F.percentile_approx("hours_to_first_answer", q, ACCURACY))
     agg = fanned.groupBy(item, month).agg(
         F.count(F.lit(1)).alias("questions"), F.coalesce(F.sum("__replies"), F.lit(0)).alias("answers"), F.count_if(F.col(item) == F.col("__smallest")).alias("__heads"),
         F.count_if(~F.col("has_any_answer")).alias("__unanswered"), F.count_if("is_closed").alias("__closed"), F.count_if("answered_within_24h").alias("__soon"),

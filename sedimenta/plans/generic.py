@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.functions.columns import band, count_of, date_key, fingerprint_part, masked, MASK_TOKEN, month_of, pseudonym, slug
+from sedimenta.functions.columns import band, count_of, date_key, fingerprint_part, masked, MASK_TOKEN, month_of, pseudonym, row_hash, slug
 from sedimenta.operators import marts
 from sedimenta.operators import merge as m
 from sedimenta.operators.merge import s, t
 from sedimenta.operators.select import judged, mark_first, newest, orphans
-from sedimenta.session import scan
+from sedimenta.session import ensure_checkpoint_dir, scan
 from sedimenta.sources.landing import key_presence, reconcile
+from sedimenta.store import VersionedTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -66,7 +68,7 @@ def first_event_hours(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_TIMED + "SELECT o_orderpriority, date_trunc('month', o_orderdate)::DATE AS month_start, round(quantile_disc(hours_to_first_answer, 0.5), 4) AS median_hours, round(quantile_disc(hours_to_first_answer, 0.9), 4) AS p90_hours FROM timed GROUP BY 1, 2")
 def median_p90_group_month(spark: SparkSession, d: str) -> DataFrame:
-    ranks = {name: F.round(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY hours_to_first_answer)"), 4).alias(name) for name, q in (("median_hours", 0.5), ("p90_hours", 0.9))}
+    ranks = {name: F.round(F.percentile_approx("hours_to_first_answer", q, marts.ACCURACY), 4).alias(name) for name, q in (("median_hours", 0.5), ("p90_hours", 0.9))}
     return _timed(spark, d).groupBy("o_orderpriority", month_of(F.col("o_orderdate")).alias("month_start")).agg(*ranks.values())
 
 
@@ -182,9 +184,21 @@ def pseudonymize(spark: SparkSession, d: str) -> DataFrame:
     return scan(spark, d, "customer").select("c_custkey", pseudonym(F.when(F.col("c_custkey") % 5 != 0, F.col("c_custkey")), "pepper").alias("user_key"))
 
 
-@query("SELECT n_nationkey, sha256(concat_ws('|', n_nationkey, n_name, n_regionkey)) AS record_hash FROM nation")
+@query("SELECT n_nationkey, sha256('{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}') AS record_hash FROM nation")
 def record_hash(spark: SparkSession, d: str) -> DataFrame:
-    return scan(spark, d, "nation").select("n_nationkey", F.sha2(F.concat_ws("|", "n_nationkey", "n_name", "n_regionkey"), 256).alias("record_hash"))
+    """The hash by which merges tell whether a record changed."""
+    return scan(spark, d, "nation").select("n_nationkey", row_hash(["n_nationkey", "n_name", "n_regionkey"]).alias("record_hash"))
+
+
+@query("SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS high FROM events GROUP BY 1 ORDER BY n DESC, event_type")
+def audit_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by status, the most frequent first."""
+    return scan(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("high")).orderBy(F.desc("n"), "event_type")
+
+
+@query("SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_type, '^(S|M).*(L|M)$')")
+def pattern_filter(spark: SparkSession, d: str) -> DataFrame:
+    return scan(spark, d, "part").where(F.col("p_type").rlike("^(S|M).*(L|M)$")).select("p_partkey", "p_type")
 
 
 @query("SELECT o_custkey AS k, o_orderdate AS at FROM orders UNION ALL SELECT l_suppkey, l_shipdate FROM lineitem")
@@ -225,10 +239,10 @@ def audit_rollup(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("SELECT event_type, string_agg(DISTINCT CAST(year(ts) AS VARCHAR), ',' ORDER BY CAST(year(ts) AS VARCHAR)) AS years, median(value) AS median_value, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+@query("SELECT event_type, string_agg(DISTINCT CAST(year(ts) AS VARCHAR), ',' ORDER BY CAST(year(ts) AS VARCHAR)) AS years, quantile_disc(value, 0.5) AS median_value, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def bi_measures(spark: SparkSession, d: str) -> DataFrame:
     return scan(spark, d, "events").groupBy("event_type").agg(
-        F.array_join(F.array_sort(F.collect_set(F.year("ts").cast("string"))), ",").alias("years"), F.median("value").alias("median_value"), F.count_distinct("user_id").alias("users")
+        F.array_join(F.array_sort(F.collect_set(F.year("ts").cast("string"))), ",").alias("years"), F.percentile_approx("value", 0.5, marts.ACCURACY).alias("median_value"), F.count_distinct("user_id").alias("users")
     )
 
 
@@ -320,10 +334,67 @@ def merge_newer(spark: SparkSession, d: str) -> DataFrame:
     return _merged(spark, d, m.newer_and_different(_COLS, ["k"], "v", "value"))
 
 
-@query(_merge_sql({"v": "s_v", "kind": "s_kind", "lo": "s_lo", "value": "CASE WHEN s_v >= t_v + 2 THEN s_value ELSE t_value END", "hi": "greatest(s_hi, t_hi)"}, "s.v > t.v AND s.kind <> t.kind"))
+_GUARD = """
+WITH {T}, {S}, j AS (SELECT t.k AS t_k, s.k AS s_k, t.v AS t_v, s.v AS s_v, t.kind AS t_kind, s.kind AS s_kind, t.value AS t_value, s.value AS s_value, t.v + 3 AS t_as_of, t.value > 60 AS t_gone,
+  CASE WHEN t.value > 60 THEN t.v + t.v % 5 END AS t_gone_at FROM t FULL JOIN s ON t.k = s.k),
+w AS (SELECT *, CASE WHEN t_k IS NULL THEN 'I' WHEN s_k IS NOT NULL AND s_v > t_v AND s_kind <> t_kind THEN 'U' ELSE 'K' END AS a, coalesce(t_gone AND s_v > t_gone_at, false) AS back FROM j)
+SELECT coalesce(t_k, s_k) AS k, CASE a WHEN 'K' THEN t_v ELSE s_v END AS v, CASE a WHEN 'K' THEN t_kind ELSE s_kind END AS kind,
+  CASE WHEN a = 'I' OR (a = 'U' AND s_v >= t_as_of) THEN s_value ELSE t_value END AS value, CASE a WHEN 'I' THEN s_v WHEN 'U' THEN greatest(s_v, t_as_of) ELSE t_as_of END AS as_of,
+  CASE WHEN a = 'I' THEN false WHEN a = 'U' THEN t_gone AND NOT back ELSE t_gone END AS gone, CASE WHEN a = 'I' OR (a = 'U' AND back) THEN NULL ELSE t_gone_at END AS gone_at, a AS action FROM w
+""".replace("{T}", _T).replace("{S}", _S)
+
+
+@query(_GUARD)
 def merge_guarded(spark: SparkSession, d: str) -> DataFrame:
-    base = m.newer_and_different(_COLS, ["k"], "v", "kind", ["value", "hi"])
-    return _merged(spark, d, m.MergeSpec(["k"], dict(base.updates) | {"value": F.when(s("v") >= t("v") + 2, s("value")).otherwise(t("value")), "hi": F.greatest(s("hi"), t("hi"))}, base.when))
+    """Guarded columns only move forward, and a newer record revives a deleted one."""
+    target, source = _sides(spark, d)
+    gone = F.col("value") > 60
+    target = target.select("k", "v", "kind", "value", (F.col("v") + 3).alias("as_of"), gone.alias("gone"), F.when(gone, F.col("v") + F.col("v") % 5).alias("gone_at"))
+    source = source.select("k", "v", "kind", "value", F.col("v").alias("as_of"), F.lit(False).alias("gone"), F.lit(None).cast("bigint").alias("gone_at"))
+    spec = m.newer_with_guard(target.columns, ["k"], "v", "kind", guarded=["value"], as_of="as_of", deleted="gone", deleted_at="gone_at")
+    return m.merge(target, source, spec).withColumnRenamed("_action", "action")
+
+
+# --- versioned tables, in a folder of their own beside the checkpoints
+def _table(spark: SparkSession, like: DataFrame, keys: list[str], **kw) -> VersionedTable:
+    return VersionedTable(spark, f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}", dict(like.dtypes), keys, **kw)
+
+
+def _stored(spark: SparkSession, d: str) -> VersionedTable:
+    target, source = _sides(spark, d)
+    table = _table(spark, target, ["k"])
+    table.overwrite(target)
+    table.merge(source, m.newer_and_different(_COLS, ["k"], "v", "value"))
+    table.compact(["v"])
+    table.merge(source, m.newer_and_different(_COLS, ["k"], "v", "value"))  # changes nothing
+    return table
+
+
+_STORED = _merge_sql(_ALL, "s.v > t.v AND s.value <> t.value")
+
+
+@query(f"SELECT * EXCLUDE (action) FROM ({_STORED})")
+def store_merge(spark: SparkSession, d: str) -> DataFrame:
+    """A table after a first load, a merge, a compaction and a replay of the merge."""
+    return _stored(spark, d).read()
+
+
+@query(f"SELECT 1 AS number, 'overwrite' AS operation, 0::BIGINT AS inserted, 0::BIGINT AS updated UNION ALL SELECT 2, 'merge', count(*) FILTER (action = 'I'), count(*) FILTER (action = 'U') FROM ({_STORED}) UNION ALL SELECT 3, 'compact by v', 0, 0")
+def store_history(spark: SparkSession, d: str) -> DataFrame:
+    """The versions of that table with what each changed."""
+    rows = [(v.number, v.operation, v.metrics.get("inserted", 0), v.metrics.get("updated", 0)) for v in _stored(spark, d).history()]
+    return spark.createDataFrame(rows, "number int, operation string, inserted bigint, updated bigint")
+
+
+@query("SELECT event_id, user_id, event_type, CASE WHEN event_type = 'purchase' THEN value * 2 ELSE value END AS value FROM events WHERE event_type <> 'error'")
+def store_replace_parts(spark: SparkSession, d: str) -> DataFrame:
+    """A table in parts of which one is replaced and another taken out."""
+    e = scan(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    table = _table(spark, e, ["event_id"], part_by=["event_type"])
+    table.overwrite(e)
+    bought = table.read(parts=["purchase"])
+    table.replace_parts(bought.withColumn("value", F.col("value") * 2), ["purchase", "error"])
+    return table.read()
 
 
 @query(_merge_sql({"kind": "s_kind"}, "s.value <= 90 AND s.kind IS DISTINCT FROM t.kind", delete="s.value > 90").replace("ELSE 'I' END AS a", "WHEN s.value <= 90 THEN 'I' END AS a").replace("FROM j", "FROM j WHERE a IS NOT NULL"))

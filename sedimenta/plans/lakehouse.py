@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedimenta.contracts import CONTRACTS
+from sedimenta.ingest import classified, seen_paths
 from sedimenta.operators.merge import applied, merge, s, t, update_only
-from sedimenta.operators.select import judged, split_by_rules
+from sedimenta.operators.select import dead_letters, judged, split_by_rules
 from sedimenta.plans import gold, silver
 from sedimenta.plans.settings import SALT, TAG_CATEGORIES, TRACKED
 from sedimenta.session import cut, scan
@@ -45,16 +48,16 @@ def _gold(f: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], *, with_ans
 
 def silver_questions(spark: SparkSession, d: str) -> DataFrame:
     q = silver.questions(*_raw(spark, d, "questions"), SALT, TRACKED)
-    return q.drop("record_hash", "is_deleted", "deleted_detected_at", "metrics_as_of", "title", "title_length").withColumns({"tags": F.array_join("tags", ","), "tracked_tags": F.array_join(F.array_sort("tracked_tags"), ",")})
+    return q.drop("record_hash").withColumns({"tags": F.array_join("tags", ","), "tracked_tags": F.array_join(F.array_sort("tracked_tags"), ",")})
 
 
 def silver_titles(spark: SparkSession, d: str) -> DataFrame:
-    """Decoded titles; SQL has no decoder, so this one is checked by its own test."""
+    """Decoded titles and their lengths."""
     return silver.questions(*_raw(spark, d, "questions"), SALT, TRACKED).select("question_id", "title", "title_length")
 
 
 def silver_answers(spark: SparkSession, d: str) -> DataFrame:
-    return silver.answers(*_raw(spark, d, "answers"), SALT).drop("record_hash", "is_deleted", "deleted_detected_at")
+    return silver.answers(*_raw(spark, d, "answers"), SALT).drop("record_hash")
 
 
 def silver_tags(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +73,7 @@ def silver_snapshots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def silver_post_text(spark: SparkSession, d: str) -> DataFrame:
-    return silver.post_text(*_raw(spark, d, "questions", "answers"), decode=False).select("post_type", "post_id", F.sha2("title_masked", 256).alias("title_sha"), F.sha2("body_masked", 256).alias("body_sha"), "masked_token_count")
+    return silver.post_text(*_raw(spark, d, "questions", "answers")).select("post_type", "post_id", F.sha2("title_masked", 256).alias("title_sha"), F.sha2("body_masked", 256).alias("body_sha"), "masked_token_count")
 
 
 def dq_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -94,14 +97,44 @@ def soft_deletes(spark: SparkSession, d: str) -> DataFrame:
     return soft_deleted(silver.questions(rq, SALT, TRACKED).select("question_id", "source_extracted_at", "is_deleted", "deleted_detected_at"), silver.tombstones(rd))
 
 
+def silver_dead_letters(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that fail a rule, as they are set aside."""
+    rq, ra = _raw(spark, d, "questions", "answers")
+    parts = []
+    for rows, entity, key in ((silver.questions(rq, SALT, TRACKED), "questions", "question_id"), (silver.answers(ra, SALT), "answers", "answer_id")):
+        _, bad = split_by_rules(rows, silver.rules(entity))
+        parts.append(dead_letters(bad, entity, key, "source_batch_id").select("entity", "record_key", "failed_rule", "source_batch_id"))
+    return parts[0].unionByName(parts[1])
+
+
+def _lines(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    raw = scan(spark, d, "quarantine_records")
+    return {e: classified(raw.where(F.col("entity") == e).select(F.col("raw_record").alias("value"), F.col("_source_file").alias("file_path")).where(F.length(F.trim("value")) > 0), c) for e, c in CONTRACTS.items()}
+
+
+def bronze_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Raw lines by entity and the reason to reject them."""
+    parts = [x.groupBy(F.lit(e).alias("entity"), F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count(F.lit(1)).alias("n")) for e, x in _lines(spark, d).items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def bronze_drift(spark: SparkSession, d: str) -> DataFrame:
+    """How many lines show each top-level field outside the contract."""
+    quoted = F.col("path").startswith('["')
+    name = F.when(quoted, F.get_json_object(F.col("path"), "$[0]")).otherwise(F.col("path")).alias("path")
+    parts = [seen_paths(x.where("check.is_json"), "check.unexpected", "value").where(quoted | ~F.contains("path", F.lit("."))).select(F.lit(e).alias("entity"), name, "n") for e, x in _lines(spark, d).items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 QUERIES = {
+    "silver_dead_letters": silver_dead_letters, "bronze_reasons": bronze_reasons, "bronze_drift": bronze_drift,
     "silver_questions": silver_questions, "silver_titles": silver_titles, "silver_answers": silver_answers, "silver_question_tags": silver_tags,
     "silver_users": silver_users, "silver_snapshots": silver_snapshots, "silver_post_text": silver_post_text, "silver_dq_counts": dq_counts,
     "silver_apply_snapshots": apply_snapshots, "silver_soft_deletes": soft_deletes,
     "gold_dim_date": _gold(lambda q, a, tags: gold.dim_date(q, a)),
     "gold_dim_tag": _gold(lambda q, a, tags: gold.dim_tag(tags, TRACKED, TAG_CATEGORIES), with_answers=False),
     "gold_dim_user": lambda spark, d: gold.dim_user(silver_users(spark, d), *_clean(spark, d)[:2]),
-    "gold_fact_question": _gold(lambda q, a, tags: gold.fact_question(gold.base(q, a)).drop("title")),
+    "gold_fact_question": _gold(lambda q, a, tags: gold.fact_question(gold.base(q, a))),
     "gold_fact_answer": _gold(lambda q, a, tags: gold.fact_answer(q, a)),
     "gold_bridge_question_tag": _gold(lambda q, a, tags: gold.bridge(tags, TRACKED), with_answers=False),
     "gold_agg_tag_month": _gold(lambda q, a, tags: gold.agg_tag_month(gold.base(q, a), a, tags, TRACKED, TAG_CATEGORIES)),
@@ -124,6 +157,16 @@ _OWNER = f"{_KEY} AS owner_user_key, owner.user_type AS owner_user_type, owner.r
 _SLUG = "trim(lower(regexp_replace(trim(closed_reason), '[^A-Za-z0-9]+', '_', 'g')), '_')"
 
 
+# Character references of the test titles; the ampersand comes last, so nothing is decoded twice.
+_REFERENCES = {"&#x27;": "''", "&#39;": "''", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&hellip;": "…", "&mdash;": "—", "&amp;": "&"}
+
+
+def _decoded(c: str) -> str:
+    for name, char in _REFERENCES.items():
+        c = f"replace({c}, '{name}', '{char}')"
+    return c
+
+
 def _ts(c: str) -> str:
     return f"make_timestamptz({c} * 1000000)"
 
@@ -136,9 +179,10 @@ sq AS (SELECT rq.question_id, {_ts('creation_date')} AS created_at, {_ts('last_a
   {_ts('closed_date')} AS closed_at, closed_reason, {_SLUG} AS closed_reason_code, closed_date IS NOT NULL AS is_closed, score, view_count, answer_count,
   is_answered AS is_answered_api, coalesce(answer_count, 0) > 0 AS has_any_answer, accepted_answer_id, accepted_answer_id IS NOT NULL AS has_accepted_answer,
   bounty_amount, coalesce(tags, []) AS tags, {_OWNER}, {_SHAPE}, migrated_from IS NOT NULL AS is_migrated, content_license, link AS question_url,
-  _batch_id AS source_batch_id, _extracted_at AS source_extracted_at, title FROM rq),
+  _batch_id AS source_batch_id, _extracted_at AS source_extracted_at, {_decoded("title")} AS title, length({_decoded("title")})::INT AS title_length, false AS is_deleted,
+  NULL::TIMESTAMPTZ AS deleted_detected_at, _extracted_at AS metrics_as_of FROM rq),
 sa AS (SELECT answer_id, question_id, {_ts('creation_date')} AS created_at, {_ts('last_activity_date')} AS last_activity_at, {_ts('last_edit_date')} AS last_edit_at,
-  score, is_accepted, {_OWNER}, {_SHAPE}, content_license, _batch_id AS source_batch_id, _extracted_at AS source_extracted_at FROM ra),
+  score, is_accepted, {_OWNER}, {_SHAPE}, content_license, _batch_id AS source_batch_id, _extracted_at AS source_extracted_at, false AS is_deleted, NULL::TIMESTAMPTZ AS deleted_detected_at FROM ra),
 tags_ AS (SELECT question_id, tag, any_value(_batch_id) AS source_batch_id FROM (SELECT question_id, unnest(tags) AS tag, _batch_id FROM rq) WHERE tag IS NOT NULL GROUP BY 1, 2),
 q AS (SELECT sq.* FROM sq LEFT JOIN tomb ON tomb.question_id = sq.question_id AND source_extracted_at < tomb.deleted_detected_at
   WHERE created_at IS NOT NULL AND (last_activity_at IS NULL OR last_activity_at >= created_at) AND trim(coalesce(title, '')) <> '' AND tomb.question_id IS NULL),
@@ -170,8 +214,17 @@ _TOKENS = r"coalesce(len(regexp_extract_all({}, '\[(EMAIL|IP|SECRET|CONNECTION)\
 _TEXT_RANK = "row_number() OVER (PARTITION BY {} ORDER BY _extracted_at DESC NULLS LAST, _record_hash) AS rn"
 
 ORACLES = {
-    "silver_questions": _CTE + f"SELECT * EXCLUDE (title) REPLACE (array_to_string(tags, ',') AS tags), array_to_string(list_sort(list_distinct([x FOR x IN tags IF x IN {_LIST}])), ',') AS tracked_tags FROM sq",
+    "silver_questions": _CTE + f"SELECT * REPLACE (array_to_string(tags, ',') AS tags), array_to_string(list_sort(list_distinct([x FOR x IN tags IF x IN {_LIST}])), ',') AS tracked_tags FROM sq",
+    "silver_titles": _CTE + "SELECT question_id, title, title_length FROM sq",
     "silver_answers": _CTE + "SELECT * FROM sa",
+    "silver_dead_letters": _CTE + """
+SELECT * FROM (SELECT 'questions' AS entity, question_id::VARCHAR AS record_key, CASE WHEN created_at IS NULL THEN 'created_at_not_null' WHEN last_activity_at < created_at THEN 'activity_not_before_creation'
+  WHEN trim(coalesce(title, '')) = '' THEN 'title_not_blank' END AS failed_rule, source_batch_id FROM sq
+UNION ALL SELECT 'answers', answer_id::VARCHAR, CASE WHEN question_id IS NULL THEN 'question_id_not_null' WHEN created_at IS NULL THEN 'created_at_not_null'
+  WHEN last_activity_at < created_at THEN 'activity_not_before_creation' END, source_batch_id FROM sa) WHERE failed_rule IS NOT NULL""",
+    "bronze_reasons": "SELECT entity, coalesce(reason, '') AS reason, count(*) AS n FROM quarantine_records WHERE length(trim(raw_record)) > 0 GROUP BY ALL",
+    "bronze_drift": "SELECT entity, path, count(*) AS n FROM (SELECT entity, unnest(json_keys(raw_record)) AS path FROM quarantine_records WHERE json_valid(raw_record) AND NOT regexp_matches(raw_record, ',\\s*\\}\\s*$') AND json_type(raw_record) = 'OBJECT') WHERE CASE entity "
+    + " ".join(f"WHEN '{e}' THEN path NOT IN ({', '.join(repr(k) for k in c.tree)})" for e, c in CONTRACTS.items()) + " END GROUP BY ALL",
     "silver_question_tags": _CTE + f"SELECT question_id, tag, source_batch_id, tag IN {_LIST} AS is_tracked_tag FROM tags_",
     "silver_users": f"""
 WITH o AS (SELECT owner, creation_date, _extracted_at FROM questions UNION ALL SELECT owner, creation_date, _extracted_at FROM answers),
@@ -183,7 +236,7 @@ FROM r JOIN s ON s.id = r.owner.user_id WHERE rn = 1""",
     "silver_post_text": f"""
 WITH q AS (SELECT * FROM (SELECT *, {_TEXT_RANK.format('question_id')} FROM questions WHERE question_id IS NOT NULL) WHERE rn = 1),
 a AS (SELECT * FROM (SELECT *, {_TEXT_RANK.format('answer_id')} FROM answers WHERE answer_id IS NOT NULL) WHERE rn = 1),
-m AS (SELECT 'question' AS post_type, question_id AS post_id, {_masked('title')} AS tm, {_masked('body')} AS bm FROM q
+m AS (SELECT 'question' AS post_type, question_id AS post_id, {_masked(_decoded('title'))} AS tm, {_masked('body')} AS bm FROM q
   UNION ALL SELECT 'answer', answer_id, NULL, {_masked('body')} FROM a)
 SELECT post_type, post_id, sha256(tm) AS title_sha, sha256(bm) AS body_sha, ({_TOKENS.format('tm')} + {_TOKENS.format('bm')})::INT AS masked_token_count FROM m""",
     "silver_dq_counts": _CTE + """
@@ -215,7 +268,7 @@ fp AS (SELECT user_key, min(created_at) AS first_post_at FROM posts GROUP BY 1),
 u AS (SELECT sha256('{SALT}:' || id) AS user_key, r.owner.user_type AS user_type, r.owner.reputation AS reputation, r.owner.accept_rate AS accept_rate, first_seen_at FROM r JOIN s ON s.id = r.owner.user_id WHERE rn = 1)
 SELECT u.user_key, user_type, reputation, CASE WHEN reputation IS NULL THEN 'unknown' WHEN reputation < 100 THEN 'under 100' WHEN reputation < 1000 THEN '100 to 999' WHEN reputation < 10000 THEN '1,000 to 9,999' ELSE '10,000 or more' END AS reputation_band,
   accept_rate, first_seen_at, date_trunc('month', coalesce(first_post_at, first_seen_at))::DATE AS cohort_month FROM u LEFT JOIN fp USING (user_key)""",
-    "gold_fact_question": _CTE + "SELECT question_id, created_date_key, owner_user_key, score, view_count, answer_count, has_any_answer, has_accepted_answer, is_closed, closed_reason_code, hours_to_first_answer, hours_to_accepted_answer, answered_within_24h FROM base",
+    "gold_fact_question": _CTE + "SELECT question_id, title, created_date_key, owner_user_key, score, view_count, answer_count, has_any_answer, has_accepted_answer, is_closed, closed_reason_code, hours_to_first_answer, hours_to_accepted_answer, answered_within_24h FROM base",
     "gold_fact_answer": _CTE + """
 SELECT answer_id, question_id, strftime(a.created_at, '%Y%m%d')::INT AS created_date_key, a.owner_user_key, a.score, is_accepted,
   row_number() OVER (PARTITION BY question_id ORDER BY a.created_at, answer_id) = 1 AS is_first_answer, (epoch_us(a.created_at) - epoch_us(q.created_at)) / 1000000 / 3600.0 AS hours_after_question
