@@ -102,21 +102,26 @@ def _digits(s: str) -> int:
 # Cheap tests that a text must pass before a pattern is run over it; they never rule out a match.
 # Those on folded text are for patterns that ignore case; each names what every form of its pattern has.
 _MAY_EMAIL = ("@", "&#", "&commat")
-_MAY_AT = re.compile(r"[\[({]\s?at\s?[\])}]|\sdot\s")
+_MAY_AT, _MAY_DOT = re.compile(r"[\[({]\s?at\s?[\])}]"), re.compile(r"dot\s")
 _MAY_ID = ("pass", "pasa", "licen", "lizenz", "schein", "permis", "ssn", "ni n", "policy", "social", "sozial", "number", "insur", "nhs", "tax", "tin", "steuer", "ident", "id card", "id-card", "driver", "national id", "ausweis", "personal id", "voter", "citizen", "dula", "pesel", "bsn", "nif", "nie", "dni", "cpf", "curp", "fiscal", "nino", "num")
-_MAY_NUMBER = re.compile(r"\d[\d).]*[ .\-(]\(?\d{2}|\+\d|(?<!\d)00[1-9]\d{9}|\(0\d{2,4}\)")
+# each begins with one set of characters, so that the search leaps from one to the next
+_MAY_NUMBER = (re.compile(r"\d[\d).]*[ .\-(]\(?\d{2}"), re.compile(r"\+\d"), re.compile(r"00[1-9]\d{9}"), re.compile(r"\(0\d{2,4}\)"))
 _MAY_DATE = re.compile(r"born|birth|d\.?o\.?b|geboren|née? le|nacid")
 _TAIL = re.compile(r"(?:ext|x|extension|poste|durchwahl)\.?\s?\d+$", re.IGNORECASE)
-LEADING = re.compile(
-    rf"\d[a-z]?,?\s[{_U}]\S*\s(?:\S+\s){{0,3}}?{_SUFFIX}\b|\d{_RUE}"
-    r"|\b(?:Calle|Avenida|Plaza|Paseo|Camino|Carrera|Rua|Travessa|Largo|Via|Viale|Piazza|Corso)\s"
-)
+LEADING = (
+    re.compile(rf"\d[a-z]?,?\s[{_U}]\S*\s(?:\S+\s){{0,3}}?{_SUFFIX}\b"), re.compile(rf"\d{_RUE}"),
+    re.compile(r"(?:Calle|Avenida|Plaza|Paseo|Camino|Carrera|Rua|Travessa|Largo|Via|Viale|Piazza|Corso)\s"),
+)
 _GERMAN = re.compile(r"(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|damm|ufer|chaussee|STRASSE|WEG|GASSE|ALLEE|PLATZ)\s\d")
 _PAIR = re.compile(rf"([{_U}][\w'’\-]*)\.?,?\s(?=[{_U}])")
-_INITIALS = re.compile(rf"{_INITIAL}\s[{_U}]")  # a name may begin with any initial, also one that is a word
+_INITIALS = re.compile(rf"[{_U}]\.\s[{_U}]")  # a name may begin with any initial, also one that is a word
 _STOPPED = frozenset(NOT_NAMES.lower().split("|"))
 
 
+def _wordlike(c: str) -> bool:
+    return c.isalnum() or c in "_."
+
+
 #: Letters that ignoring case takes for ASCII ones, besides what lower() turns into them.
 _FOLDED = {0x131: "i", 0x17F: "s", 0x307: None}
 
@@ -140,18 +145,18 @@ def find(text: str | None, *, cheap: bool = True) -> list[tuple[int, int, str]]:
             spans.append((start, end, kind))
 
     low = _folded(text)
-    if not cheap or any(k in low for k in _MAY_EMAIL) or _MAY_AT.search(low):
+    if not cheap or any(k in low for k in _MAY_EMAIL) or _MAY_AT.search(low) or ("dot" in low and _MAY_DOT.search(low)):
         for m in EMAIL.finditer(text):
             if not m.group().lower().startswith("git@"):
                 add(m.start(), m.end(), "email")
-    if not cheap or (LEADING.search(text) or _GERMAN.search(text)) is not None:
+    if not cheap or any(p.search(text) for p in LEADING) or _GERMAN.search(text):
         for m in ADDRESS.finditer(text):
             add(m.start(), m.end(), "street_address")
     if not cheap or any(k in low for k in _MAY_ID):
         for m in ID_NUMBER.finditer(text):
             if _digits(m.group(1)) >= 5:
                 add(m.start(1), m.end(1), "id_number")
-    if not cheap or _MAY_NUMBER.search(text):
+    if not cheap or any(p.search(text) for p in _MAY_NUMBER):
         for m in SSN.finditer(text):
             add(m.start(), m.end(), "id_number")
         for m in PHONE.finditer(text):
@@ -161,7 +166,7 @@ def find(text: str | None, *, cheap: bool = True) -> list[tuple[int, int, str]]:
         for m in DATE.finditer(text):
             if _date(m.group(1)):
                 add(m.start(1), m.end(1), "birth_date")
-    if not cheap or _INITIALS.search(text) or any(w.lower() not in _STOPPED for w in _PAIR.findall(text)):
+    if not cheap or any(not m.start() or not _wordlike(text[m.start() - 1]) for m in _INITIALS.finditer(text)) or any(w.lower() not in _STOPPED for w in _PAIR.findall(text)):
         for m in NAME.finditer(text):
             add(m.start(), m.end(), "person_name")
     return sorted(spans)
