@@ -8,7 +8,7 @@ merged level by level over the shuffle, and kept in tables as binary values.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +22,8 @@ def rank_error(k: int = K) -> float:
     return 2.296 / k**0.9723
 
 
-def sketch(df: DataFrame, keys: Sequence[str], value: str, *, k: int = K) -> DataFrame:
-    """(keys, sketch, n_values, n_null, min_value, max_value) per group.
+def sketch(df: DataFrame, keys: Sequence[str], value: str, *, k: int = K, counts: Mapping[str, Column] | None = None) -> DataFrame:
+    """(keys, sketch, n_values, n_null, min_value, max_value) per group, and further ``counts`` if given.
 
     Nulls and NaN are counted but not sketched; a group without values keeps a
     null sketch.  A null key is a group of its own.  Repeated rows count as
@@ -35,12 +35,16 @@ def sketch(df: DataFrame, keys: Sequence[str], value: str, *, k: int = K) -> Dat
     return df.groupBy(*keys).agg(
         F.when(F.count(v) > 0, F.kll_sketch_agg_double(v, F.lit(k))).alias("sketch"),
         F.count(v).alias("n_values"), (F.count(F.lit(1)) - F.count(v)).alias("n_null"),
-        F.min(v).alias("min_value"), F.max(v).alias("max_value"),
+        F.min(v).alias("min_value"), F.max(v).alias("max_value"), *[c.alias(name) for name, c in (counts or {}).items()],
     )
 
 
 def merge(sketches: DataFrame, keys: Sequence[str], *, k: int = K) -> DataFrame:
-    """Combine sketches of separate partitions, days or coarser groups."""
+    """Combine sketches of separate partitions, days or coarser groups.
+
+    Counts add up, so a row that two loads both hold counts twice: make loads
+    disjoint, by the load that a row's key belongs to, before they are sketched.
+    """
     return sketches.groupBy(*keys).agg(
         F.when(F.count("sketch") > 0, F.kll_merge_agg_double("sketch", F.lit(k))).alias("sketch"),
         F.sum("n_values").alias("n_values"), F.sum("n_null").alias("n_null"),
@@ -57,5 +61,5 @@ def percentile(q: float) -> Column:
     return F.when(F.col("sketch").isNotNull(), F.kll_sketch_get_quantile_double("sketch", F.lit(float(q))))
 
 
-def percentiles(sketches: DataFrame, keys: Sequence[str], ranks: dict[str, float]) -> DataFrame:
-    return sketches.select(*keys, "n_values", "n_null", *[percentile(q).alias(name) for name, q in ranks.items()])
+def percentiles(sketches: DataFrame, keys: Sequence[str], ranks: dict[str, float], *counts: str) -> DataFrame:
+    return sketches.select(*keys, "n_values", "n_null", *counts, *[percentile(q).alias(name) for name, q in ranks.items()])

@@ -57,15 +57,16 @@ RANKS = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
 
 
 def _hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each question once, however often it was exported; hours that are not positive are no waiting times and count as missing."""
+    """Each question once, however often it was exported; hours that are not positive are no waiting times, they count as missing and are told as ``negative``."""
     fact = scan(spark, sf_dir, "fact_question").select("question_id", "created_date_key", "owner_user_key", "hours_to_first_answer").distinct()
-    return fact.select(F.floor(F.col("created_date_key") / 100).cast("int").alias("month"), "owner_user_key", F.when(F.col("hours_to_first_answer") > 0, F.col("hours_to_first_answer")).alias("hours"))
+    return fact.select(F.floor(F.col("created_date_key") / 100).cast("int").alias("month"), "owner_user_key", F.when(F.col("hours_to_first_answer") > 0, F.col("hours_to_first_answer")).alias("hours"), (F.col("hours_to_first_answer") <= 0).alias("negative"))
 
 
 def p7_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles per month and per owner: ``grain`` tells which of the two a row is for."""
     hours = _hours(spark, sf_dir).withColumn("month", F.col("month").cast("string"))
-    parts = [percentiles(sketch(hours, [k], "hours"), [k], RANKS).select(F.lit(g).alias("grain"), F.col(k).alias("group_key"), "n_values", "n_null", *RANKS) for g, k in (("month", "month"), ("owner", "owner_user_key"))]
+    counts = {"n_not_positive": F.count_if("negative")}
+    parts = [percentiles(sketch(hours, [k], "hours", counts=counts), [k], RANKS, *counts).select(F.lit(g).alias("grain"), F.col(k).alias("group_key"), "n_values", "n_null", *counts, *RANKS) for g, k in (("month", "month"), ("owner", "owner_user_key"))]
     return parts[0].unionByName(parts[1])
 
 

@@ -2,15 +2,15 @@
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
-from sedimenta.llm import quantiles
+from sedimenta.llm import leakage, quantiles, queries
 from sedimenta.llm.cooccurrence import cooccurrence
-from sedimenta.llm import leakage
 from sedimenta.llm.leakage import leaks
 from sedimenta.llm.mixture import cell_weights, mixture, rake, reached_shares, token_count
 
@@ -68,8 +68,6 @@ def test_percentiles_within_the_stated_error_and_mergeable(spark):
 
 
 def brute_leaks(docs, items):
-    import re
-
     def words(t):
         return re.findall(r"[^\W_]+", re.sub(r"</?[A-Za-z][^<>]*>", " ", t or "").lower())
 
@@ -172,3 +170,25 @@ def test_tokens_are_those_of_the_public_vocabulary(spark):
     texts = ["Hello world's  42 naïve\n\n  x_y", "", None, "ы 日本語 🎉"]
     got = [r.n for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(token_count(F.col("t")).alias("n")).collect()]
     assert got == [len(ref.encode(t, add_special_tokens=False).ids) if t else 0 for t in texts]
+
+
+def shown(df):
+    import contextlib
+    import io
+
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()
+
+
+def test_stripes_travel_by_item_and_segment_and_are_merged_there(spark, sf):
+    plan = shown(queries.p4_found(spark, sf))
+    tail = plan[plan.index("(1)") :] if "(1)" in plan else plan
+    assert "hashpartitioning(item_a#" in tail and re.search(r"hashpartitioning\(item_a#\d+, segment#\d+", tail) and not re.search(r"hashpartitioning\(item_a#\d+, item_b#\d+", tail)
+
+
+@pytest.mark.parametrize("name", ["p4_found", "p7_percentiles"])
+def test_no_cross_join(spark, sf, name):
+    plan = shown(queries.QUERIES[name](spark, sf))
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
