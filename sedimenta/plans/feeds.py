@@ -56,6 +56,11 @@ def p2_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return question_versions(spark, sf_dir)
 
 
+def p2_owner_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of owners with their whole period of validity."""
+    return owner_versions(spark, sf_dir)
+
+
 P1_CURRENT = """
 WITH ranked AS (
   SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY _extracted_at DESC NULLS LAST,
@@ -77,15 +82,21 @@ shot_marks AS (
 question_starts AS (SELECT * FROM shot_marks WHERE s0 IS NULL OR s0 <> score OR v0 <> view_count)
 """
 
-ORACLES = {
-    "p1_found": P1_CURRENT + "SELECT question_id, _record_hash AS record_hash FROM live",
-    "p1_live_scores": P1_CURRENT + "SELECT question_id, score, view_count, is_answered, _extracted_at FROM live",
-    "p2_found": "WITH " + P2_QUESTION + """,
+P2_OWNER = """
 seen AS (
   SELECT owner.user_id AS user_id, epoch_us(_extracted_at) // 1000000 AS seen_at, max(owner.reputation) AS reputation
   FROM (SELECT owner, _extracted_at FROM questions UNION ALL SELECT owner, _extracted_at FROM answers)
   WHERE owner.user_id IS NOT NULL AND owner.reputation IS NOT NULL AND _extracted_at IS NOT NULL GROUP BY 1, 2),
 marks AS (SELECT *, lag(reputation) OVER (PARTITION BY user_id ORDER BY seen_at) AS r0 FROM seen)
+"""
+
+ORACLES = {
+    "p2_owner_history": "WITH " + P2_OWNER + """
+SELECT user_id, reputation, seen_at AS valid_from, lead(seen_at) OVER w AS valid_to, row_number() OVER w AS version_no
+FROM marks WHERE r0 IS NULL OR r0 <> reputation WINDOW w AS (PARTITION BY user_id ORDER BY seen_at)""",
+    "p1_found": P1_CURRENT + "SELECT question_id, _record_hash AS record_hash FROM live",
+    "p1_live_scores": P1_CURRENT + "SELECT question_id, score, view_count, is_answered, _extracted_at FROM live",
+    "p2_found": "WITH " + P2_QUESTION + "," + P2_OWNER + """
 SELECT 'question' AS entity, question_id AS entity_id, snapshot_at AS valid_from FROM question_starts
 UNION ALL SELECT 'owner', user_id, seen_at FROM marks WHERE r0 IS NULL OR r0 <> reputation""",
     "p2_history": "WITH " + P2_QUESTION + """
@@ -93,4 +104,4 @@ SELECT question_id, score, view_count, snapshot_at AS valid_from, lead(snapshot_
 FROM question_starts WINDOW w AS (PARTITION BY question_id ORDER BY snapshot_at)""",
 }
 
-QUERIES = {"p1_found": p1_found, "p1_live_scores": p1_live_scores, "p2_found": p2_found, "p2_history": p2_history}
+QUERIES = {"p1_found": p1_found, "p1_live_scores": p1_live_scores, "p2_found": p2_found, "p2_history": p2_history, "p2_owner_history": p2_owner_history}

@@ -127,8 +127,13 @@ class PagedReader(DataSourceReader):
         pages = Pages(o["base_url"], reserve=int(o.get("reserve", 20)), wait=float(o.get("wait", 5)), **({"site": o["site"]} if "site" in o else {}))
         bounds = {"fromdate": partition.since, "todate": partition.until - 1} if "start" in o else {"min": partition.since, "sort": "activity"}
         key = o.get("key", "question_id")
-        for item in pages.items(o.get("path", "/questions"), tagged=partition.tag, **bounds):
-            yield partition.tag, partition.month, item.get(key), json.dumps(item)
+        try:
+            for item in pages.items(o.get("path", "/questions"), tagged=partition.tag, **bounds):
+                yield partition.tag, partition.month, item.get(key), json.dumps(item)
+        except QuotaSpent:
+            if o.get("on_quota", "fail") != "stop":
+                raise
+            yield partition.tag, partition.month, None, '{"stopped": true}'
 
 
 class PagedApi(DataSource):
