@@ -306,43 +306,62 @@ def placeholder(kind: str, value: str, key: bytes) -> str:
     return f"[{TYPES[kind]} {hmac.new(key, f'{kind}:{plain}'.encode(), hashlib.sha256).hexdigest()[:32]}]"
 
 
-def redact_text(text: str, key: bytes) -> str:
-    """The text with each mention replaced; everything else is untouched."""
-    out, at = [], 0
+def pseudonymised(text: str, key: bytes) -> tuple[str, list[dict]]:
+    """The text with each mention replaced and everything else untouched, and the mentions.
+
+    A mention has its type, its number among those of its type, and its
+    pseudonym, which links it to equal values in any other text.
+    """
+    out, at, found, seen = [], 0, [], Counter()
     for s, e, kind in find(text):
-        out += [text[at:s], placeholder(kind, text[s:e], key)]
+        mark = placeholder(kind, text[s:e], key)
+        out += [text[at:s], mark]
         at = e
-    return "".join([*out, text[at:]])
+        seen[kind] += 1
+        found.append({"pii_type": kind, "mention": seen[kind], "pseudonym": _link(kind, mark)})
+    return "".join([*out, text[at:]]), found
 
 
-COUNTS = "array<struct<pii_type:string,n:int>>"
+def _link(kind: str, mark: str) -> str:
+    """What equal values have in common whatever their spelling."""
+    inner = mark.partition(" ")[2][:-1]
+    if kind == "phone":
+        main = _TAIL.sub("", inner)
+        return "".join(c for c in main if c in "0123456789")[_prefix(main) :]
+    if kind == "id_number":
+        return "".join(c for c in inner.upper() if c.isalnum())
+    return _date(inner).isoformat() if kind == "birth_date" and _date(inner) else inner
 
 
-def _counts(texts: pd.Series) -> pd.Series:
-    return pd.Series([[{"pii_type": k, "n": n} for k, n in sorted(Counter(k for _, _, k in find(t)).items())] for t in texts])
+def redact_text(text: str, key: bytes) -> str:
+    return pseudonymised(text, key)[0]
 
 
-def mention_counts(text: Column) -> Column:
-    """Array of (pii_type, n); empty for null and for texts without mentions."""
-    return F.pandas_udf(_counts, COUNTS)(text)
+RESULT = "text string, mentions array<struct<pii_type:string,mention:bigint,pseudonym:string>>"
 
 
 def redacted(text: Column, key: str) -> Column:
-    """The text with typed placeholders; null stays null."""
+    """struct(text with typed placeholders, mentions); a null text stays null and has no mentions."""
     secret = key.encode()
 
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else redact_text(t, secret) for t in texts])
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, []) if t is None else pseudonymised(t, secret) for t in texts], columns=["text", "mentions"])
 
-    return F.pandas_udf(run, "string")(text)
+    return F.pandas_udf(run, RESULT)(text)
 
 
-def mentions(posts: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, pii_type, mention): one row per mention, numbered by type.
+def mentions(posts: DataFrame, keys: list[str], text: str, key: str) -> DataFrame:
+    """(keys, pii_type, mention, pseudonym): one row per mention, numbered by type.
 
     Rows that agree in ``keys`` are one text.  Null and empty texts have no
     mentions; texts of any length are read whole; other columns are ignored.
-    Rows stay where they are read; only counts are shuffled, to drop repeats.
+    Rows stay where they are read; only the mentions are shuffled, to drop
+    repeats.
     """
-    found = posts.select(*keys, mention_counts(F.col(text)).alias("m")).select(*keys, F.explode("m").alias("m")).select(*keys, "m.pii_type", "m.n").distinct()
-    return found.select(*keys, "pii_type", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n").cast("bigint"))).alias("mention"))
+    return posts.select(*keys, F.explode(redacted(F.col(text), key)["mentions"]).alias("m")).select(*keys, "m.*").distinct()
+
+
+def linked(found: DataFrame, post: list[str]) -> DataFrame:
+    """(pii_type, pseudonym, posts, mentions): how often each value occurs, without the value."""
+    per_post = found.groupBy("pii_type", "pseudonym", *post).agg(F.count(F.lit(1)).alias("n"))
+    return per_post.groupBy("pii_type", "pseudonym").agg(F.count(F.lit(1)).alias("posts"), F.sum("n").alias("mentions"))

@@ -9,7 +9,7 @@ from sedimenta.llm.cooccurrence import cooccurrence
 from sedimenta.llm.leakage import leaks
 from sedimenta.llm.markup import analysed
 from sedimenta.llm.mixture import mixture, reached_shares, shares_of, token_count
-from sedimenta.llm.pii import mentions, redacted
+from sedimenta.llm.pii import linked, mentions, redacted
 from sedimenta.llm.quantiles import merge, percentiles, rank_error, sketch
 from sedimenta.llm.residue import residue
 from sedimenta.session import cut, scan
@@ -44,13 +44,23 @@ def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).where("body IS NOT NULL AND record_hash IS NOT NULL")
 
 
+def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mentions(_bodies(spark, sf_dir), ["post_type", "record_hash"], "body", "test-salt")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mentions(_bodies(spark, sf_dir), ["post_type", "record_hash"], "body").where("pii_type <> 'birth_date'")
+    """Every mention with a pseudonym, but for dates of birth, which are a type beside the five."""
+    return _mentions(spark, sf_dir).where("pii_type <> 'birth_date'").select("post_type", "record_hash", "pii_type", "mention")
+
+
+def p6_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many posts each value occurs, by its pseudonym."""
+    return linked(_mentions(spark, sf_dir), ["post_type", "record_hash"])
 
 
 def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bodies with typed placeholders."""
-    return _bodies(spark, sf_dir).select("post_type", "record_hash", redacted(F.col("body"), "test-salt").alias("body"))
+    return _bodies(spark, sf_dir).select("post_type", "record_hash", redacted(F.col("body"), "test-salt")["text"].alias("body"))
 
 
 RANKS = {"p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
@@ -162,5 +172,5 @@ SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (win)""",
 QUERIES = {
     "p4_found": p4_found, "p4_pairs": p4_pairs,
     "p7_percentiles": p7_percentiles, "p7_merged_percentiles": p7_merged_percentiles, "p7_check": p7_check,
-    "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_redacted": p6_redacted, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_check": p9_check, "p10_found": p10_found, "p10_clean": p10_clean,
+    "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_redacted": p6_redacted, "p6_linked": p6_linked, "p8_found": p8_found, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_check": p9_check, "p10_found": p10_found, "p10_clean": p10_clean,
 }

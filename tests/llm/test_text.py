@@ -205,11 +205,14 @@ def test_without_trusted_passages_nothing_is_residue():
 # --- as columns
 def test_columns_over_awkward_rows(spark):
     df = spark.createDataFrame(AWKWARD, "doc_id bigint, text string, markup string")
-    got = df.select("doc_id", markup.analysed(F.col("text")).alias("m"), pii.mention_counts(F.col("text")).alias("p"), pii.redacted(F.col("text"), "k").alias("r")).orderBy("doc_id").collect()
+    got = df.select("doc_id", markup.analysed(F.col("text")).alias("m"), pii.redacted(F.col("text"), "k")["mentions"].alias("p"), pii.redacted(F.col("text"), "k")["text"].alias("r")).orderBy("doc_id").collect()
     assert got[0].m.clean is None and got[0].r is None and got[1].r == "" and all(r.m.markup == [] and r.p == [] for r in got)
     assert len(got[3].r) == 300_000
     judged = residue.residue(df, model=residue.NOTHING)
     assert [r.is_residue for r in judged.orderBy("doc_id").collect()][:3] == [False] * 3
     assert residue.residue(df.limit(0)).count() == 0
-    repeated = pii.mentions(spark.createDataFrame([("h", "a@b.co and c@d.co"), ("h", "a@b.co and c@d.co")], "key string, t string"), ["key"], "t")
-    assert sorted(map(tuple, repeated.collect())) == [("h", "email", 1), ("h", "email", 2)]
+    repeated = pii.mentions(spark.createDataFrame([("h", "a@b.co and c@d.co"), ("h", "a@b.co and c@d.co")], "key string, t string"), ["key"], "t", "k")
+    assert sorted(tuple(r)[:3] for r in repeated.collect()) == [("h", "email", 1), ("h", "email", 2)]
+    posts = spark.createDataFrame([("a", "call +1 415 555 0101"), ("b", "or 415.555.0101, 415-555-0101; a@b.co"), ("c", None)], "key string, t string")
+    links = {(r.pii_type, r.posts, r.mentions) for r in pii.linked(pii.mentions(posts, ["key"], "t", "k"), ["key"]).collect()}
+    assert links == {("phone", 2, 3), ("email", 1, 1)}
