@@ -92,7 +92,3 @@ def safe_column_name(name: str) -> str:
     """A column name out of any JSON key."""
     return re.sub(r"[^\w]", "_", name).strip("_").lower() or "unnamed_column"
 
-
-def conformed(columns: dict[str, str]) -> list[Column]:
-    """The columns of a contract in order; a value that the type does not take becomes null."""
-    return [F.col(name).try_cast(kind).alias(name) if kind not in ("string",) else F.col(name).cast(kind).alias(name) for name, kind in columns.items()]
