@@ -51,7 +51,7 @@ _BODY = {"md_fence": "md_body", "md_inline": "mi_body", "html_pre": "pre_body",
 _INLINE = frozenset({"md_inline", "html_code", "wiki_inline", "tex_inline"})
 #: Private-use characters that hold the place of a piece set aside.
 _OPEN, _CLOSE, _HEAD = "\ue000", "\ue001", "\ue002"
-_PRIVATE = re.compile("[\ue000-\ue002]")
+_PRIVATE = re.compile("[\ue000-\ue004]")
 _HELD = re.compile(f"{_OPEN}(\\d+){_CLOSE}")
 
 _DUNDER = r"(?:init|main|name|file|all|dict|str|repr|call|iter|next|len|doc|class|new|del|enter|exit|getitem|setitem|eq|hash|slots|version|author|path|module)"
@@ -113,7 +113,7 @@ class _Events(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=False)
-        self.lines: list[list] = [["", 0, 0, False]]  # text, tags, characters inside links, structure
+        self.lines: list[list] = [["", 0, 0, False, 0]]  # text, tags, characters inside links, structure, links
         self.html = False
         self.links = 0
         self.skip = 0
@@ -140,7 +140,7 @@ class _Events(HTMLParser):
         first, *more = s.split("\n")
         self._add(first)
         for part in more:
-            self.lines.append(["", 0, 0, False])
+            self.lines.append(["", 0, 0, False, 0])
             self._add(part)
 
     def _add(self, s: str) -> None:
@@ -151,7 +151,7 @@ class _Events(HTMLParser):
 
     def _break(self, prefix: str = "") -> None:
         if self.lines[-1][0].strip():
-            self.lines.append(["", 0, 0, False])
+            self.lines.append(["", 0, 0, False, 0])
         if prefix:
             self.lines[-1][0] = prefix
             self.lines[-1][3] = True
@@ -184,6 +184,7 @@ class _Events(HTMLParser):
             self._break()
         elif tag == "a":
             self.links += 1
+            self.lines[-1][4] += 1
 
     def _paired(self, tag: str, raw: str) -> bool:
         at = self.rawdata.lower()
@@ -250,8 +251,9 @@ def content_lines(lines: list[list], *, sigma: float = 1.0, factor: float = 0.5)
     """Lines of content regions: smoothed text-to-tag ratio at or above the threshold.
 
     The threshold is ``factor`` times the standard deviation of the ratios, at
-    most their mean.  Below it a line still is content if it has structure or
-    most of its text is outside links, for a short sentence is no navigation.
+    most their mean.  Below it a line still is content if it has structure, if
+    most of its text is outside links, or if it is a link by itself: navigation
+    comes as several links in a row.
     """
     if not any(line[2] for line in lines):
         return [line[0] for line in lines]
@@ -264,15 +266,34 @@ def content_lines(lines: list[list], *, sigma: float = 1.0, factor: float = 0.5)
         smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
     mean = sum(smooth) / len(smooth)
     threshold = min(mean, factor * math.sqrt(sum((r - mean) ** 2 for r in smooth) / len(smooth)))
+    linked = [not line[3] and line[2] > 0 and 2 * line[2] >= sum(c.isalnum() for c in line[0]) for line in lines]
+    filled = [i for i, line in enumerate(lines) if line[0].strip()]
+    in_row = {i for p, i in enumerate(filled) if linked[i] and (lines[i][4] > 1 or (p and linked[filled[p - 1]]) or (p + 1 < len(filled) and linked[filled[p + 1]]))}
     out = []
-    for line, r, own in zip(lines, smooth, ratio, strict=True):
-        own_text = sum(c.isalnum() for c in line[0])
+    for i, (line, r, own) in enumerate(zip(lines, smooth, ratio, strict=True)):
         # smoothing alone would lift a row of links beside long paragraphs
-        if min(r, 4 * own) >= threshold or line[3] or 2 * line[2] < own_text or _OPEN in line[0]:
+        if min(r, 4 * own) >= threshold or line[3] or i not in in_row or _OPEN in line[0]:
             out.append(line[0])
     return out
 
 
+#: Marks around the text of links of Markdown and wiki, until regions are told apart.
+_LINK, _END = "\ue003", "\ue004"
+_STRUCTURE = re.compile(rf"[ \t]*(?:{_HEAD}|[-*+][ \t]|\d+[.)][ \t]|[|!]|{_OPEN})")
+
+
+def _regions(text: str) -> str:
+    """Content regions of text whose links come from Markdown or wiki: each link is a tag."""
+    if _LINK not in text:
+        return text
+    lines = []
+    for line in text.split("\n"):
+        inside = sum(len(p.partition(_END)[0]) for p in line.split(_LINK)[1:])
+        n = line.count(_LINK)
+        lines.append([line.replace(_LINK, "").replace(_END, ""), 2 * n, inside, _STRUCTURE.match(line) is not None, n])
+    return "\n".join(content_lines(lines))
+
+
 def _hold(text: str) -> tuple[str, list[tuple[str, str]]]:
     """The text with its code set aside, and the pieces as (group, content)."""
     held: list[tuple[str, str]] = []
@@ -332,7 +353,7 @@ def analyse(text: str | None, clean: bool = True) -> tuple[str | None, list[str]
         out = MARKDOWN.sub(lambda m: _markdown(m, kinds), out)
     if not clean:
         return None, sorted(kinds)
-    return _render(out, held), sorted(kinds)
+    return _render(_regions(out), held), sorted(kinds)
 
 
 MARKDOWN_AUTO = re.compile(r"<((?:https?://|mailto:)[^\s<>]+)>(?!\))")
@@ -439,7 +460,7 @@ def _wiki(m: re.Match, kinds: set) -> str:
     if m.group("file"):
         return m.group("ft").rpartition("|")[2]
     if m.group("link"):
-        return m.group("la") or m.group("lt")
+        return f"{_LINK}{m.group('la') or m.group('lt')}{_END}"
     if m.group("template"):
         # what a template shows are its parameters
         return " ".join(p.rpartition("=")[2].strip() for p in m.group()[2:-2].split("|")[1:])
@@ -458,6 +479,8 @@ def _markdown(m: re.Match, kinds: set) -> str:
         return (_HEAD if m.group("sm")[0] == "=" else 2 * _HEAD) + " " + m.group("st")
     if m.group("auto"):
         return m.group()[1:-1]
+    if m.group("link"):
+        return f"{_LINK}{m.group('lt')}{_END}"
     return next((x for k in ("qt", "it", "lt", "sx", "sy", "ex", "ey", "sk") if (x := m.group(k)) is not None), "")
 
 

@@ -52,6 +52,12 @@ def test_navigation_lines_are_left_out():
     text = "".join(f"<p>{'real words in a long paragraph ' * 8}{i}</p>" for i in range(6))
     clean = markup.analyse(nav + text)[0]
     assert "l29" not in clean and clean.count("paragraph") == 48
+    # the same rows in other notations; a link that stands alone, or in a list, is content
+    for row in (" | ".join(f"[l{i}](/{i})" for i in range(30)), " · ".join(f"[[P{i}|l{i}]]" for i in range(30))):
+        long = "\n".join("real words in a long paragraph " * 8 for _ in range(6))
+        clean = markup.analyse(f"{row}\n\n{long}\n\n[the docs](http://a.b)\n\n- [one](x)\n- [two](y)")[0]
+        assert "l29" not in clean and clean.count("paragraph") == 48 and all(x in clean for x in ("the docs", "- one", "- two"))
+    assert markup.analyse("See [this page](x) and [that](y).")[0] == "See this page and that."
 
 def test_broken_markup_is_plain_text():
     rng = random.Random(2)
