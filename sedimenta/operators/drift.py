@@ -15,6 +15,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Collection, Iterable, Mapping
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -184,38 +185,45 @@ def _at(parent: str, name: str) -> tuple[str, ...]:
 CANDIDATES = "array<struct<lost:string,cost:double>>"
 
 
-def _candidates(entity: pd.Series, parent: pd.Series, name: pd.Series, seen: pd.Series, stats: pd.Series, have: pd.Series, children: pd.Series, contract_stats: pd.Series) -> pd.Series:
+@lru_cache(maxsize=4096)
+def _parsed(stats: str) -> dict:
+    """The statistics of a name, which are the same text in every file that has it."""
+    return json.loads(stats)
+
+
+def _candidates(of_contract: Mapping[str, Mapping[str, str]]):
     """For each new name the mandatory fields it could be, each at less than a deletion and an addition."""
-    out, parsed = [], {}
-    for e, p, n, sn, st, h, c, cs in zip(entity, parent, name, seen, stats, have, children, contract_stats, strict=True):
-        level, must = _level(e, p), CONTRACTS[e].mandatory
-        gone = [k for k in level if ".".join(_at(p, k)) in must and k not in set(h if h is not None else ())]
-        costs = []
-        if gone:
-            if e not in parsed:
-                parsed[e] = {k: json.loads(v) for k, v in dict(cs).items()}
-            kinds, other = live_kinds(sn), json.loads(st)
+
+    def run(entity: pd.Series, parent: pd.Series, name: pd.Series, seen: pd.Series, stats: pd.Series, have: pd.Series, children: pd.Series) -> pd.Series:
+        out = []
+        for e, p, n, sn, st, h, c in zip(entity, parent, name, seen, stats, have, children, strict=True):
+            level, must = _level(e, p), CONTRACTS[e].mandatory
+            gone = [k for k in level if ".".join(_at(p, k)) in must and k not in set(h if h is not None else ())]
+            costs = []
             for k in gone:
                 path = _at(p, k)
-                cost = rename_cost(level[k], path, n, kinds, parsed[e].get(".".join(path), {}), other, c if c is not None else (), must)
+                mine = _parsed(of_contract.get(e, {}).get(".".join(path), "{}"))
+                cost = rename_cost(level[k], path, n, live_kinds(sn), mine, _parsed(st), c if c is not None else (), must)
                 if cost < DELETE_ADD:
                     costs.append({"lost": k, "cost": cost})
-        out.append(costs)
-    return pd.Series(out)
+            out.append(costs)
+        return pd.Series(out)
+
+    return F.pandas_udf(run, CANDIDATES)
 
 
-def _file_script(pdf: pd.DataFrame, inside: bool) -> pd.DataFrame:
+def _file_script(pdf: pd.DataFrame, inside: bool, of_contract: Mapping[str, Mapping[str, str]]) -> pd.DataFrame:
     """All changes of one file, from the names that can matter and their statistics."""
     entity, source = pdf["entity"].iloc[0], pdf["source_file"].iloc[0]
     contract = CONTRACTS[entity]
     kinds: dict[tuple, Counter] = {}
-    stats: dict[tuple, dict] = {}
-    declared = {k: json.loads(v) for k, v in dict(pdf["contract_stats"].iloc[0] or {}).items()}
+    stats: dict[tuple, str] = {}
+    declared = of_contract.get(entity, {})
     for parent, name, seen_, st in zip(pdf["parent"], pdf["name"], pdf["seen"], pdf["stats"], strict=True):
         if name is None:  # a file that lacks every field that could matter
             continue
         path = (parent, name) if parent else (name,)
-        kinds[path], stats[path] = live_kinds(seen_), json.loads(st)
+        kinds[path], stats[path] = live_kinds(seen_), st
     seen: dict[str, dict | None] = {p[0]: None for p in kinds if len(p) == 1}
     for p in kinds:
         if len(p) == 2 and p[0] in seen:
@@ -229,7 +237,7 @@ def _file_script(pdf: pd.DataFrame, inside: bool) -> pd.DataFrame:
         return at
 
     def relabel(path: tuple, x: tuple) -> float:
-        return rename_cost(wanted(path), path, x[-1], kinds[x], declared.get(".".join(path), {}), stats[x], (seen.get(x[-1]) or {}) if len(x) == 1 else (), contract.mandatory)
+        return rename_cost(wanted(path), path, x[-1], kinds[x], _parsed(declared.get(".".join(path), "{}")), _parsed(stats[x]), (seen.get(x[-1]) or {}) if len(x) == 1 else (), contract.mandatory)
 
     mandatory = frozenset(tuple(p.split(".")) for p in contract.mandatory)
     _, edits = script(tree, seen, relabel, mandatory=mandatory, delete=DELETE_ADD / 2, add=DELETE_ADD / 2, inside=inside, moves=inside)
@@ -261,8 +269,8 @@ def schema_changes(lines: DataFrame, *, inside: bool = False, **columns: str) ->
     only as many of the cheapest as the contract has fields can be in a
     least-cost script, so that many reach the task that makes the script of the
     file, besides the contract's own fields, and all other names are additions.
-    Statistics of a name over all files travel with its rows, so nothing is
-    broadcast or collected but a row per contract.
+    Statistics of a name over all files travel with its rows; those of the
+    contracts' own fields, as many as these have, go through the driver.
     """
     profile = file_profile(lines, **columns)  # every line is parsed once; what is kept is a row per file and field
     names = cut(profile.groupBy(*FILE, "parent", "name").agg(F.sum("n").alias("lines"), F.collect_list(F.struct("kind", "sig", "n")).alias("seen")))  # kinds and signatures are few
@@ -298,13 +306,14 @@ def schema_changes(lines: DataFrame, *, inside: bool = False, **columns: str) ->
         .select(*NAME, F.to_json(F.struct("files", "of", "sigs", "beside")).alias("stats"))
     )
     stats = cut(stats)
-    of_contract = stats.join(declared, NAME, "left_semi").groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct(path, "stats"))).alias("contract_stats"))
-    of_contract = F.broadcast(of_contract)  # one row per contract
+    of_contract: dict[str, dict[str, str]] = defaultdict(dict)  # as many entries as the contracts have fields
+    for r in stats.join(declared, NAME, "left_semi").select("entity", path.alias("path"), "stats").collect():
+        of_contract[r["entity"]][r["path"]] = r["stats"]
     # what each object of a file has of the fields it is held against
     have = per_name.where(F.col("own") | F.col("kin")).groupBy(*FILE, "parent").agg(F.collect_set("name").alias("have"))
     children = have.where("parent <> ''").select(*FILE, F.lit("").alias("parent"), F.col("parent").alias("name"), F.col("have").alias("children"))
-    extra = per_name.where(~F.col("own") & ~F.col("kin")).join(stats, NAME).join(of_contract, "entity", "left").join(have, [*FILE, "parent"], "left").join(children, [*FILE, "parent", "name"], "left")
-    could = F.pandas_udf(_candidates, CANDIDATES)("entity", "parent", "name", "seen", "stats", "have", "children", "contract_stats")
+    extra = per_name.where(~F.col("own") & ~F.col("kin")).join(stats, NAME).join(have, [*FILE, "parent"], "left").join(children, [*FILE, "parent", "name"], "left")
+    could = _candidates(of_contract)("entity", "parent", "name", "seen", "stats", "have", "children")
     costs = extra.select(*FILE, "parent", "name", F.explode(could).alias("c")).select(*FILE, "parent", "name", "c.*")
     rank = F.row_number().over(Window.partitionBy(*FILE, "parent", "lost").orderBy("cost", "name"))
     most = max(len(c.mandatory) for c in CONTRACTS.values())
@@ -322,8 +331,8 @@ def schema_changes(lines: DataFrame, *, inside: bool = False, **columns: str) ->
     )
     rows = matter.join(stats, NAME).select(*FILE, "parent", "name", "seen", "stats")
     # every file has its row, also if nothing of it matters
-    rows = rows.unionByName(files.select(*FILE), allowMissingColumns=True).join(of_contract, "entity", "left")
-    return rows.groupBy(*FILE).applyInPandas(lambda pdf: _file_script(pdf, inside), CHANGE_DDL).unionByName(added.select("entity", "source_file", "change_kind", "column_path", "seen_path", "lines"))
+    rows = rows.unionByName(files.select(*FILE), allowMissingColumns=True)
+    return rows.groupBy(*FILE).applyInPandas(lambda pdf: _file_script(pdf, inside, of_contract), CHANGE_DDL).unionByName(added.select("entity", "source_file", "change_kind", "column_path", "seen_path", "lines"))
 
 
 def scripts(changes: DataFrame) -> DataFrame:
