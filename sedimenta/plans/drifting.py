@@ -37,7 +37,12 @@ def p3_rescued(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_records(spark, sf_dir).groupBy("entity", "source_file").agg(*counts)
 
 
-QUERIES = {"p3_type_changes": p3_type_changes, "p3_rescued": p3_rescued, "p3_found": p3_found, "p3_questions": p3_questions, "p3_records": p3_records}
+def p3_readable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the consistent table by entity and file."""
+    return p3_rescued(spark, sf_dir).where("source_file IS NOT NULL").select("entity", "source_file", "readable")
+
+
+QUERIES = {"p3_readable": p3_readable, "p3_type_changes": p3_type_changes, "p3_rescued": p3_rescued, "p3_found": p3_found, "p3_questions": p3_questions, "p3_records": p3_records}
 
 
 # what DuckDB calls a JSON value that a contract type takes
@@ -62,6 +67,7 @@ def _wrong(path: str, kind: str) -> str:
 # DuckDB takes a comma before the end, which strict JSON does not
 _READABLE = "SELECT entity, _source_file, raw_record::JSON AS j FROM quarantine_records WHERE _source_file IS NOT NULL AND json_valid(raw_record) AND NOT regexp_matches(raw_record, ',\\s*\\}\\s*$') AND json_type(raw_record) = 'OBJECT'"
 ORACLES: dict[str, str] = {
+    "p3_readable": f"SELECT entity, _source_file AS source_file, count(*) AS readable FROM ({_READABLE}) WHERE entity IN ({', '.join(repr(e) for e in CONTRACTS)}) GROUP BY ALL",
     "p3_type_changes": f"WITH lines AS ({_READABLE}) "
     + " UNION ".join(f"SELECT _source_file AS source_file, '{name}' AS column_path FROM lines WHERE entity = '{e}' AND {_wrong(path, kind)}" for e, name, path, kind in _judged_fields()),
 }
