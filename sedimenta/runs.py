@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.contracts import CONTRACTS, LINEAGE, QUARANTINE, tree_of
 from sedimenta.functions.columns import row_hash
-from sedimenta.ingest import load_file
+from sedimenta.ingest import load_files
 from sedimenta.operators import merge as m
 from sedimenta.operators.merge import s, t
 from sedimenta.operators.select import dead_letters, split_by_rules
@@ -132,14 +132,18 @@ class Lakehouse:
         finally:
             self._log(record)
 
-    def _log(self, r: Step) -> None:
+    def _log(self, *records: Step) -> None:
         now = dt.datetime.now(dt.UTC).replace(tzinfo=None)
-        row = (
-            uuid.uuid4().hex, self.run_id, r.pipeline, r.layer, r.mode, r.load_type, r.entity, r.batch_id, r.source, r.target, r.started, now, (now - r.started).total_seconds(),
-            r.status, r.rows_read, r.inserted, r.updated, r.deleted, r.quarantined, r.message, now,
-        )
+        rows = [
+            (
+                uuid.uuid4().hex, self.run_id, r.pipeline, r.layer, r.mode, r.load_type, r.entity, r.batch_id, r.source, r.target, r.started, now, (now - r.started).total_seconds(),
+                r.status, r.rows_read, r.inserted, r.updated, r.deleted, r.quarantined, r.message, now,
+            )
+            for r in records
+        ]
         with contextlib.suppress(Exception):  # a log that cannot be written never hides the outcome
-            self.audit.append(self.spark.createDataFrame([row], ", ".join(f"{k} {v}" for k, v in AUDIT.items())))
+            if rows:
+                self.audit.append(self.spark.createDataFrame(rows, ", ".join(f"{k} {v}" for k, v in AUDIT.items())))
 
     @staticmethod
     def _mode(mode: str, ids: object, start: object, end: object) -> None:
@@ -157,48 +161,63 @@ class Lakehouse:
             self._log(Step("raw_to_bronze", "Raw-to-Bronze", "batch", batch_id=x, mode=mode, status="FAILED", message="no such batch"))
             failed += 1
         done = {r["batch_id"] for r in self.registry.read().where("bronze_status = 'SUCCESS'").select("batch_id").collect()}  # a row per batch
-        loaded = skipped = 0
+        todo, notes = [], []
         for b in batches:
-            if b.error:
-                self._log(Step("raw_to_bronze", "Raw-to-Bronze", "batch", batch_id=b.batch_id, source=b.path, mode=mode, status="FAILED", message=b.error))
-                failed += 1
-            elif mode == "incremental" and b.batch_id in done:
-                self._log(Step("raw_to_bronze", "Raw-to-Bronze", "batch", batch_id=b.batch_id, source=b.path, mode=mode, status="SKIPPED", message="loaded before"))
-                skipped += 1
-            elif self._load_batch(b, mode):
-                loaded += 1
+            if b.error or (mode == "incremental" and b.batch_id in done):
+                status, message = ("FAILED", b.error) if b.error else ("SKIPPED", "loaded before")
+                notes.append(Step("raw_to_bronze", "Raw-to-Bronze", "batch", batch_id=b.batch_id, source=b.path, mode=mode, status=status, message=message))
             else:
-                failed += 1
+                todo.append(b)
+        self._log(*notes)
+        skipped = sum(n.status == "SKIPPED" for n in notes)
+        good = self._load_batches(todo, mode) if todo else {}
+        loaded = sum(good.values())
+        failed += len(notes) - skipped + len(good) - loaded
         if failed and fail_on_error:
             raise RuntimeError(f"{failed} batches failed")
         return {"loaded": loaded, "skipped": skipped, "failed": failed}
 
-    def _load_batch(self, b: Batch, mode: str) -> bool:
-        present = set(Files(self.spark, b.path).names(b.path))
-        good = bool(present & {f"{e}.jsonl" for e in CONTRACTS})
+    def _load_batches(self, batches: Sequence[Batch], mode: str) -> dict[str, bool]:
+        """Load all batches, one entity after another, and enter them into the registry; batch -> whether all of it came in."""
+        files = Files(self.spark, self.landing)
+        present = {b.batch_id: set(files.names(b.path)) for b in batches}
+        good = {i: bool(names & {f"{e}.jsonl" for e in CONTRACTS}) for i, names in present.items()}
         for entity in CONTRACTS:
-            if f"{entity}.jsonl" in present:
-                record = Step("raw_to_bronze", "Raw-to-Bronze", entity, f"bronze.{entity}", b.batch_id, f"{b.path}/{entity}.jsonl", mode, b.load_type)
-                with self.step(record):
-                    self._load_entity(b, entity, record)
-                good &= record.status == "SUCCESS"
+            having = [b for b in batches if f"{entity}.jsonl" in present[b.batch_id]]
+            for record in self._load_entity(having, entity, mode) if having else []:
+                good[record.batch_id] &= record.status == "SUCCESS"
         now = dt.datetime.now(dt.UTC).replace(tzinfo=None)
-        row = (b.batch_id, b.load_type, b.batch_date, b.extracted_at, b.path, json.dumps(b.manifest), "SUCCESS" if good else "FAILED", now, None, None, now)
-        source = self.spark.createDataFrame([row], ", ".join(f"{k} {v}" for k, v in REGISTRY.items()))
+        rows = [(b.batch_id, b.load_type, b.batch_date, b.extracted_at, b.path, json.dumps(b.manifest), "SUCCESS" if good[b.batch_id] else "FAILED", now, None, None, now) for b in batches]
+        source = self.spark.createDataFrame(rows, ", ".join(f"{k} {v}" for k, v in REGISTRY.items()))
         kept = ("batch_id", "silver_status", "silver_processed_at")
         self.registry.merge(source, m.MergeSpec(["batch_id"], {c: s(c) for c in REGISTRY if c not in kept}))
         return good
 
-    def _load_entity(self, b: Batch, entity: str, record: Step) -> None:
-        table = self.bronze(entity)
-        out = load_file(self.spark, b, CONTRACTS[entity], record.source, dict(table.version().columns), evolve=self.evolve, now=record.started)
-        table.replace_parts(out.good, [b.batch_id], new_columns=out.new_columns)
-        if out.rows_rejected or f"{entity}~{b.batch_id}" in self.quarantine.version().parts:
-            self.quarantine.replace_parts(out.rejected, [f"{entity}~{b.batch_id}"])
-        stamped = out.drift.withColumns({"run_id": F.lit(self.run_id), "_batch_id": F.lit(b.batch_id), "entity": F.lit(entity), "load_timestamp": F.lit(record.started).cast("timestamp")})
+    def _load_entity(self, batches: Sequence[Batch], entity: str, mode: str) -> list[Step]:
+        """The files of one entity in one scan; if that fails, batch by batch, so that a broken one fails alone."""
+        records = [Step("raw_to_bronze", "Raw-to-Bronze", entity, f"bronze.{entity}", b.batch_id, f"{b.path}/{entity}.jsonl", mode, b.load_type) for b in batches]
+        try:
+            self._write_entity(batches, entity, records)
+        except Exception as e:  # noqa: BLE001 - the log keeps the reason
+            if len(batches) > 1:
+                return [r for b in batches for r in self._load_entity([b], entity, mode)]
+            records[0].status, records[0].message = "FAILED", f"{type(e).__name__}: {e}"[:2000]
+        self._log(*records)
+        return records
+
+    def _write_entity(self, batches: Sequence[Batch], entity: str, records: Sequence[Step]) -> None:
+        table, ids, now = self.bronze(entity), [b.batch_id for b in batches], records[0].started
+        out = load_files(self.spark, batches, CONTRACTS[entity], dict(table.version().columns), evolve=self.evolve, now=now)
+        table.replace_parts(out.good, ids, new_columns=out.new_columns)
+        parts = [f"{entity}~{i}" for i in ids]
+        if out.rejected_lines or set(parts) & set(self.quarantine.version().parts):
+            self.quarantine.replace_parts(out.rejected, parts)
+        stamped = out.drift.withColumns({"run_id": F.lit(self.run_id), "entity": F.lit(entity), "load_timestamp": F.lit(now).cast("timestamp")})
         events = stamped.withColumn("event_id", F.sha2(F.concat_ws("|", "_batch_id", "entity", "drift_type", "column_path"), 256)).select(*DRIFT)
         self.drift.merge(events, m.upsert_always(list(DRIFT), ["event_id"]))
-        record.rows_read, record.inserted, record.quarantined = out.rows_read, out.rows_good, out.rows_rejected
+        for r in records:
+            r.rows_read, r.inserted = out.counts[r.batch_id]
+            r.quarantined = r.rows_read - r.inserted
 
     # --- bronze to silver
     def pending(self, mode: str, ids: Sequence[str] | None, start: dt.date | None, end: dt.date | None) -> list[str]:

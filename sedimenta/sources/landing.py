@@ -69,9 +69,9 @@ def chosen(batches: Iterable[Batch], ids: Sequence[str] | None = None, start: dt
     return out, missing
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
+def lines(spark: SparkSession, *paths: str) -> DataFrame:
     """(value, file_path) of every line that is not blank; blanks other than spaces count as content."""
-    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file_path")).where(F.length(F.trim("value")) > 0)
+    return spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("file_path")).where(F.length(F.trim("value")) > 0)
 
 
 def write_batch(folder: str, load_type: str, extracted_at: dt.datetime, records: dict[str, list[dict | str]], files: Files | None = None) -> None:

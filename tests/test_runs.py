@@ -148,8 +148,31 @@ def test_columns_evolve_up_to_a_bound_and_the_rest_is_rescued(spark, tmp_path, m
     rows = [question(i, **{f"new_{k}": k for k in range(i + 1)}) for i in range(1, 6)]
     write_batch(f"{tmp_path}/full/b", "full", dt.datetime(2026, 1, 1), {"questions": rows})
     batch = discover(spark, str(tmp_path))[0]
-    out = ingest.load_file(spark, batch, CONTRACTS["questions"], f"{batch.path}/questions.jsonl", {}, now=dt.datetime(2026, 1, 1))
+    out = ingest.load_files(spark, [batch], CONTRACTS["questions"], {}, now=dt.datetime(2026, 1, 1))
+    assert out.counts == {"b": (5, 5)}
     assert sorted(out.new_columns) == ["new_0", "new_1", "new_2"]
     got = {r.question_id: r for r in out.good.collect()}
     assert json.loads(got[5]._rescued_data) == {"new_3": "3", "new_4": "4", "new_5": "5"} and got[5].new_2 == "2" and got[1]._rescued_data is None
     assert {r.column_path: (r.record_count, r.action_taken) for r in out.drift.collect()} == {f"new_{k}": (min(5, 6 - k), "evolved" if k < 3 else "rescued") for k in range(6)}
+
+
+def test_many_batches_are_read_in_one_scan_and_a_broken_one_fails_alone(spark, tmp_path, monkeypatch):
+    for i in range(4):
+        write_batch(f"{tmp_path}/landing/full/b{i}", "full", dt.datetime(2026, 1, 1 + i), {"questions": [question(10 * i + k) for k in range(3)] + (["{"] if i == 2 else [])})
+    (tmp_path / "landing" / "full" / "b1" / "questions.jsonl").unlink()
+    scans = []
+    real = ingest.lines
+    monkeypatch.setattr(ingest, "lines", lambda spark, *paths: (scans.append(len(paths)), real(spark, *paths))[1])
+    h = Lakehouse(spark, str(tmp_path / "house"), f"{tmp_path}/landing", salt="test-salt")
+    assert h.setup() and not h.setup()
+    assert h.raw_to_bronze(fail_on_error=False) == {"loaded": 3, "skipped": 0, "failed": 1} and scans == [3]
+    rows = h.bronze("questions").read()
+    assert {r._batch_id: r.n for r in rows.groupBy("_batch_id").agg(F.count("*").alias("n")).collect()} == {"b0": 3, "b2": 3, "b3": 3}
+    assert rows.where("_batch_id = 'b3'").first()._extracted_at == dt.datetime(2026, 1, 4) and h.quarantine.read().count() == 1
+    log = {r.batch_id: (r.rows_read, r.rows_inserted, r.rows_quarantined, r.status) for r in h.audit.read().where("entity = 'questions'").collect()}
+    assert log == {"b0": (3, 3, 0, "SUCCESS"), "b2": (4, 3, 1, "SUCCESS"), "b3": (3, 3, 0, "SUCCESS")}
+    # a scan that fails for one batch does not keep the others out
+    monkeypatch.setattr(ingest, "lines", lambda spark, *paths: 1 / 0 if any("/b0/" in p for p in paths) else real(spark, *paths))
+    assert h.raw_to_bronze("backfill", batch_ids=["b0", "b2", "b3"], fail_on_error=False) == {"loaded": 2, "skipped": 0, "failed": 1}
+    assert h.bronze("questions").read().count() == 9
+    assert sum(h.maintain(1).values()) >= 1 and h.bronze("questions").read().count() == 9
