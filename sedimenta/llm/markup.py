@@ -51,7 +51,7 @@ _BODY = {"md_fence": "md_body", "md_inline": "mi_body", "html_pre": "pre_body",
 _INLINE = frozenset({"md_inline", "html_code", "wiki_inline", "tex_inline"})
 #: Private-use characters that hold the place of a piece set aside.
 _OPEN, _CLOSE, _HEAD = "\ue000", "\ue001", "\ue002"
-_PRIVATE = re.compile("[\ue000-\ue004]")
+_PRIVATE = re.compile("[\ue000-\ue005]")
 _HELD = re.compile(f"{_OPEN}(\\d+){_CLOSE}")
 
 _DUNDER = r"(?:init|main|name|file|all|dict|str|repr|call|iter|next|len|doc|class|new|del|enter|exit|getitem|setitem|eq|hash|slots|version|author|path|module)"
@@ -65,8 +65,8 @@ MARKDOWN = re.compile(
     r"|(?P<image>!\[(?P<it>[^\]\n]*)\](?:\([^()\n]*(?:\([^()\n]*\)[^()\n]*)*\)|\[[^\]\n]*\]))"
     r"|(?P<link>(?<![\w\]!\\])\[(?P<lt>(?:[^\[\]\n]|\[[^\[\]\n]*\])+)\](?:\((?:<[^<>\n]*>|[^\s()<>]+(?:\([^\s()]*\))?)(?:[ \t]+[\"'(][^\n)]*)?\)|\[[^\]\n]{0,60}\]))"
     r"|(?P<auto><(?:https?://|mailto:)[^\s<>]+>)"
-    rf"|(?P<strong>{_BEFORE}(?P<sd>\*\*\*|\*\*)(?=\S)(?P<sx>[^\n]+?)(?<=\S)(?P=sd){_AFTER})"
-    rf"|(?P<strong2>{_BEFORE}__(?!{_DUNDER}__)(?=[^\s_])(?P<sy>[^\n]+?)(?<=[^\s_])__(?!\w))"
+    rf"|(?P<strong>{_BEFORE}(?P<sd>\*\*\*|\*\*)(?=\S)(?P<sx>[^\n]{{1,5000}}?)(?<=\S)(?P=sd){_AFTER})"
+    rf"|(?P<strong2>{_BEFORE}__(?!{_DUNDER}__)(?=[^\s_])(?P<sy>[^\n]{{1,5000}}?)(?<=[^\s_])__(?!\w))"
     rf"|(?P<em>{_BEFORE}\*(?=[^\s*])(?P<ex>[^*\n]+?)(?<=[^\s*])\*{_AFTER})"
     rf"|(?P<em2>{_BEFORE}_(?=[^\s_])(?P<ey>[^_\n]+?)(?<=[^\s_])_(?!\w))"
     r"|(?P<strike>~~(?=\S)(?P<sk>[^~\n]+?)(?<=\S)~~)",
@@ -79,8 +79,8 @@ WIKI = re.compile(
     r"|(?P<link>(?<![\w\]\[])\[\[(?![\s\d\-+.,\"'\[])(?P<lt>[^\[\]{}\n|]+)(?:\|(?P<la>[^\[\]\n]*))?\]\](?!\]))"
     r"|(?P<ext>(?<![\w\]\[!])\[(?:https?:|ftp:|mailto:)?//[^\s\[\]]+[ \t]+(?P<et>[^\[\]\n]+)\](?!\())"
     r"|(?P<template>(?<![{$#\w])\{\{(?:[#:]?[A-Za-z][\w \-/:.]*(?:\|[^{}]*)|(?:[Rr]eflist|[Cc]lear|TOC|toc|[Cc]itation needed|[Ss]tub|[Uu]nsigned|PAGENAME|[Cc]n))\}\}(?!\}))"
-    r"|(?P<bold>(?<![\w'])'''(?=[^\s'])(?P<bx>[^\n]+?)(?<=[^\s'])'''(?!['\w]))"
-    r"|(?P<ital>(?<![\w'])''(?=[^\s'])(?P<ix>[^'\n](?:[^\n]*?[^\s'])?)''(?!['\w]))"
+    r"|(?P<bold>(?<![\w'])'''(?=[^\s'])(?P<bx>[^\n]{1,5000}?)(?<=[^\s'])'''(?!['\w]))"
+    r"|(?P<ital>(?<![\w'])''(?=[^\s'])(?P<ix>[^'\n](?:[^\n]{0,5000}?[^\s'])?)''(?!['\w]))"
     r"|(?P<tag><(?:ref|references|gallery|math|includeonly|noinclude|onlyinclude|poem)\b[^<>]*/?>|</(?:ref|gallery|math|includeonly|noinclude|poem)>|^(?:__(?:NOTOC|TOC|FORCETOC|NOEDITSECTION)__)|\[\[(?:Category|Kategorie|Catégorie|Categoría):[^\[\]\n]*\]\])",
     re.MULTILINE,
 )
@@ -120,6 +120,7 @@ class _Events(HTMLParser):
         self.lists: list[int | None] = []  # of each open list the number of its last item, None if it has none
         self.at = 0  # where the tag at hand starts
         self.never_closed: set[str] = set()  # from here on
+        self.referred: dict[str, bool] = {}  # whether a reference stands in the text with its semicolon
 
     def parse_starttag(self, i: int) -> int:
         self.at = i
@@ -227,9 +228,11 @@ class _Events(HTMLParser):
 
     def _reference(self, raw: str, known: bool) -> None:
         # the parser also takes references without a semicolon; those are plain text
-        known = known and raw in self.rawdata
+        if raw not in self.referred:
+            self.referred[raw] = raw in self.rawdata
+        known = known and self.referred[raw]
         self.html = self.html or known
-        self._text(unescape(raw) if known else raw.rstrip(";") if raw not in self.rawdata else raw)
+        self._text(unescape(raw) if known else raw if self.referred[raw] else raw.rstrip(";"))
 
     def handle_comment(self, data: str) -> None:
         self.html = True
@@ -294,11 +297,40 @@ def _regions(text: str) -> str:
     return "\n".join(content_lines(lines))
 
 
+#: Breaks an opening that nothing closes, so that its pattern does not look for the end again and again; taken out afterwards.
+_MASK = "\ue005"
+_CODE_PAIRS = [(f"<{t}", f"</{t}") for t in ("pre", "code", "kbd", "samp", "tt", "syntaxhighlight", "nowiki", "source")]
+_CODE_PAIRS += [(f"\\begin{{{t}}}", f"\\end{{{t}}}") for t in ("verbatim", "verbatim*", "lstlisting", "minted", "alltt")]
+_MATH = "equation align alignat gather multline eqnarray displaymath math flalign split".split()
+_TEX_PAIRS = [("\\[", "\\]"), ("\\(", "\\)")] + [(f"\\begin{{{t}{s}}}", f"\\end{{{t}{s}}}") for t in _MATH for s in ("", "*")] + [(f"\\begin{{{t}", f"\\end{{{t}") for t in ("tabular", "longtable", "array")]
+#: Shorter texts are read as they are: the result is the same, and the patterns are fast enough.
+_LONG = 10_000
+
+
+def _without_unclosed(text: str, pairs: list[tuple[str, str]]) -> str:
+    """The text with those openings masked after which their end never comes."""
+    if len(text) < _LONG:
+        return text
+    low, places = text.lower(), []
+    if len(low) != len(text):  # some letter changes its length, so places would not fit
+        return text
+    for opening, end in pairs:
+        at = low.find(opening, low.rfind(end) + 1)
+        while at >= 0:
+            places.append(at + 1)
+            at = low.find(opening, at + 1)
+    if not places:
+        return text
+    cuts = [0, *sorted(set(places)), len(text)]
+    return _MASK.join(text[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
+
+
 def _hold(text: str) -> tuple[str, list[tuple[str, str]]]:
     """The text with its code set aside, and the pieces as (group, content)."""
     held: list[tuple[str, str]] = []
     if not _MAY_CODE.search(text):
         return text, held
+    text = _without_unclosed(text, _CODE_PAIRS)
 
     def take(m: re.Match) -> str:
         group = next(g for g in _KIND if m.group(g) is not None)
@@ -309,11 +341,11 @@ def _hold(text: str) -> tuple[str, list[tuple[str, str]]]:
             body = re.sub(r"^\s*<code\b[^<>]*>|</code\s*>\s*$", "", body, flags=re.IGNORECASE)
         if group.startswith("html"):
             body = unescape(re.sub(r"</?[A-Za-z][^<>]*>", "", body))
-        held.append((group, body))
+        held.append((group, body.replace(_MASK, "")))
         mark = f"{_OPEN}{len(held) - 1}{_CLOSE}"
         return mark if group in _INLINE else f"\n{mark}\n" if group != "md_fence" else f"{mark}\n"
 
-    return CODE.sub(take, text), held
+    return CODE.sub(take, text).replace(_MASK, ""), held
 
 
 def _is_formula(body: str) -> bool:
@@ -341,7 +373,9 @@ def analyse(text: str | None, clean: bool = True) -> tuple[str | None, list[str]
             kinds.add("wiki")
     out = src
     if "$" in out or "\\" in out:
-        out = LATEX.sub(_Latex(kinds, held), out)
+        n = len(held)
+        out = LATEX.sub(_Latex(kinds, held), _without_unclosed(out, _TEX_PAIRS)).replace(_MASK, "")
+        held[n:] = [(g, body.replace(_MASK, "")) for g, body in held[n:]]
         if clean and len(held) > 1:
             out = _joined(out, held)
     if "'" in out or "[" in out or "=" in out or "{" in out:
@@ -506,8 +540,10 @@ RESULT = "clean string, markup array<string>"
 def analysed(text: Column, clean: bool = True) -> Column:
     """struct(clean, markup) of a text column; null gives a null text and no markup.
 
-    Empty texts have no markup.  Texts of any length are read whole.  Broken
-    markup (unclosed tags, fences, braces) is plain text where it is.
+    Empty texts have no markup.  Texts of any length are read whole, in time
+    that grows with their length.  Broken markup (unclosed tags, fences, braces)
+    is plain text where it is, and so is emphasis that does not end within 5,000
+    characters of its line.
     """
 
     def run(texts: pd.Series) -> pd.DataFrame:

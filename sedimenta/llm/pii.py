@@ -358,7 +358,7 @@ def mentions(posts: DataFrame, keys: list[str], text: str, key: str) -> DataFram
     Rows stay where they are read; only the mentions are shuffled, to drop
     repeats.
     """
-    return posts.select(*keys, F.explode(redacted(F.col(text), key)["mentions"]).alias("m")).select(*keys, "m.*").distinct()
+    return posts.select(*keys, F.explode(redacted(F.col(text), key)["mentions"]).alias("__m")).select(*keys, "__m.*").distinct()
 
 
 def linked(found: DataFrame, post: list[str]) -> DataFrame:

@@ -35,7 +35,7 @@ SLOT = re.compile(
 BRACKET = re.compile(rf"(?<![\w\]!])\[{_NAME}\](?![\[(])")
 _TAG = re.compile(r"<(?:!--.*?--|/?(?:html|head|body|title|p|div|span|noscript|br|h[1-6]|meta|center|hr|section|main|b|i|em|strong|ul|ol|li|a|table|tr|td|th)\b[^<>]*)>", re.IGNORECASE | re.DOTALL)
 _TITLE = re.compile(r"<(title|style|script)\b[^<>]*>.*?</\1>", re.IGNORECASE | re.DOTALL)
-_QUOTED = re.compile(r"\"[^\"\n]{8,}\"|“[^”\n]{8,}”|«[^»\n]{8,}»|„[^“\n]{8,}“|`[^`\n]+`|<code>.*?</code>", re.DOTALL)
+_QUOTED = re.compile(r"\"[^\"\n]{8,}\"|“[^”\n]{8,}”|«[^»\n]{8,}»|„[^“\n]{8,}“|`[^`\n]+`|<code>(?:(?!<code>).)*?</code>", re.DOTALL)
 _MAY_QUOTE, _MAY_SLOT = re.compile(r"[\"“«„`<]"), re.compile(r"[{\[<%@]|__|[uU][nN][dD][eE][fF]")
 _SENTENCE = re.compile(r"(?<=[.!?。])\s+")
 _MARKER = re.compile(r"^(?:[*>|\-]+|#+|\d+[.)])\s+")
@@ -81,9 +81,19 @@ TRUSTED = re.compile(
 )
 
 
+def _up_to(pattern: re.Pattern, put: str, text: str, ends: tuple[str, ...]) -> str:
+    """``pattern.sub`` on the text up to the last of its ends; beyond that nothing can close, and nothing is searched."""
+    low = text.lower()
+    if len(low) != len(text):  # some letter changes its length
+        return pattern.sub(put, text)
+    at = max((k + len(e) for e in ends if (k := low.rfind(e)) >= 0), default=0)
+    return pattern.sub(put, text[:at]) + text[at:] if at else text
+
+
 def passages(text: str | None) -> list[str]:
     """Sentences and lines of a text, tags dropped; a fragment of a line stays with the sentence before it."""
-    plain = _TAG.sub("\n", _TITLE.sub("\n", text or ""))
+    text = text or ""
+    plain = _TAG.sub("\n", _up_to(_TITLE, "\n", text, ("</title>", "</style>", "</script>"))) if "<" in text else text
     out = []
     for line in plain.split("\n"):
         line = _MARKER.sub("", " ".join(line.split()))

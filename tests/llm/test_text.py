@@ -59,6 +59,20 @@ def test_navigation_lines_are_left_out():
         assert "l29" not in clean and clean.count("paragraph") == 48 and all(x in clean for x in ("the docs", "- one", "- two"))
     assert markup.analyse("See [this page](x) and [that](y).")[0] == "See this page and that."
 
+@pytest.mark.parametrize("unit", ["<pre>x ", "<code>x ", "\\begin{verbatim} x ", "\\begin{equation} x ", "\\[ x ", "**a ", "''a ", "&a ", "<script>a ", "[[a ", "$a "])
+def test_long_texts_of_openings_take_no_longer_than_their_length(unit):
+    import time
+
+    text = unit * (200_000 // len(unit))
+    began = time.perf_counter()
+    clean, kinds = markup.analyse(text)
+    residue.judge(text, residue.NOTHING)
+    pii.redact_text(text, KEY)
+    assert time.perf_counter() - began < 15 and isinstance(clean, str)
+    # an opening that is closed is still found behind many that are not, and the other way round
+    closed = unit * 2000 + "\n<pre>y</pre>\n" + unit * 2000
+    assert "```\ny\n```" in markup.analyse(closed)[0] or unit.startswith(("<pre", "<code", "<script"))
+
 def test_broken_markup_is_plain_text():
     rng = random.Random(2)
     for _ in range(300):
